@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from strata.llm import quality_rules
+from strata.llm import quality_rules, url_filter
 
 QUERIES = {
+    "op4_url_filter": url_filter.op4_url_filter,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 ORACLES = {
