@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from strata.llm import quality_rules, url_filter
+from strata.llm import exact_dedup, quality_rules, url_filter
 
 QUERIES = {
     "op4_url_filter": url_filter.op4_url_filter,
+    "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 ORACLES = {
+    "op7_exact_dedup": exact_dedup.ORACLE,
     "op10_quality_rules": quality_rules.ORACLE,
 }
