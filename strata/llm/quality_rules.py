@@ -96,12 +96,11 @@ def host_verdicts(judged: DataFrame, host: str = "source", max_rate: float = MAX
     """
     hosts = judged.groupBy(F.col(host).alias("host")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("base_failed").cast("long")).alias("failed"))
     rate = F.col("failed") / F.col("n")
-    moments = hosts.agg((F.sum("failed") / F.sum("n")).alias("m"), (F.sum(F.col("n") * rate * rate) / F.sum("n")).alias("m2"), F.lit(1).alias("one"))
+    moments = hosts.agg((F.sum("failed") / F.sum("n")).alias("m"), (F.sum(F.col("n") * rate * rate) / F.sum("n")).alias("m2"))
     spread = F.greatest(F.col("m2") - F.col("m") * F.col("m"), F.lit(1e-12))
     weight = F.least(F.greatest(F.col("m") * (1 - F.col("m")) / spread - 1, F.lit(PRIOR_WEIGHT[0])), F.lit(PRIOR_WEIGHT[1]))
-    prior = moments.select("one", "m", weight.alias("weight"))
-    # the prior is one row by construction, so its broadcast has a fixed size
-    shrunk = hosts.withColumn("one", F.lit(1)).join(F.broadcast(prior), "one").withColumn("rate", (F.col("failed") + F.col("m") * F.col("weight")) / (F.col("n") + F.col("weight")))
+    prior = moments.select(F.struct(F.col("m"), weight.alias("weight")).alias("prior")).scalar()
+    shrunk = hosts.withColumn("prior", prior).withColumn("rate", (F.col("failed") + F.col("prior.m") * F.col("prior.weight")) / (F.col("n") + F.col("prior.weight")))
     return shrunk.select("host", "n", "failed", "rate", (F.col("rate") > max_rate).alias("host_failed"))
 
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from strata.llm import exact_dedup, packing, quality_rules, url_filter
+from strata.llm import exact_dedup, lm_score, packing, quality_rules, url_filter
 
 QUERIES = {
     "op4_url_filter": url_filter.op4_url_filter,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
+    "op9_lm_score": lm_score.op9_lm_score,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 ORACLES = {

@@ -81,8 +81,7 @@ def train(spark: SparkSession, labelled=None) -> DataFrame:
     posts = rows.select("i", F.explode("x").alias("f")).groupBy("f").agg(F.sort_array(F.collect_list("i")).alias("p"))
     examples = rows.agg(F.array_sort(F.collect_list(F.struct("i", "y", "x"))).alias("examples"))
     lists = posts.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("f", "p")))).alias("posts"))
-    # both sides are one row of fixed size
-    one = examples.withColumn("one", F.lit(1)).join(lists.withColumn("one", F.lit(1)), "one")
+    one = examples.select("examples", lists.scalar().alias("posts"))
     dense = F.transform(F.sequence(F.lit(0), F.lit(DIM - 1)), lambda d: F.coalesce(F.try_element_at("posts", d), F.array().cast("array<int>")))
     one = one.select("examples", dense.alias("dense")).checkpoint()
     n = float(len(labelled))
