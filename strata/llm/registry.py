@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from strata.llm import exact_dedup, html_text, lm_score, packing, quality_rules, url_filter
+from strata.llm import exact_dedup, html_text, lm_score, packing, piece_codec, quality_rules, url_filter
 
 QUERIES = {
     "op4_url_filter": url_filter.op4_url_filter,
     "op5_html_text": html_text.op5_html_text,
+    "op6_piece_codec": piece_codec.op6_piece_codec,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_lm_score": lm_score.op9_lm_score,
