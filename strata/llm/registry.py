@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from strata.llm import exact_dedup, html_text, lm_score, packing, piece_codec, quality_rules, url_filter
+from strata.llm import exact_dedup, html_text, lm_score, merkle_audit, packing, piece_codec, quality_rules, url_filter
 
 QUERIES = {
     "op4_url_filter": url_filter.op4_url_filter,
+    "op3_merkle_audit": merkle_audit.op3_merkle_audit,
     "op5_html_text": html_text.op5_html_text,
     "op6_piece_codec": piece_codec.op6_piece_codec,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
@@ -14,6 +15,7 @@ QUERIES = {
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 ORACLES = {
+    "op3_merkle_audit": merkle_audit.ORACLE,
     "op7_exact_dedup": exact_dedup.ORACLE,
     "op10_quality_rules": quality_rules.ORACLE,
 }
