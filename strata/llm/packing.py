@@ -14,7 +14,9 @@ an empty result; other columns of the input are not read.
 
 from __future__ import annotations
 
+import json
 import os
+import unicodedata
 import zlib
 
 import numpy as np
@@ -30,8 +32,8 @@ SLACK = 8
 #: rests of so many tasks meet in the next round
 FAN_IN = 8
 OPEN_BINS = 50_000
-#: words kept with their ids in one Python worker
-CACHE_WORDS = 600_000
+#: words and pieces kept with their ids in one Python worker
+CACHE_WORDS, CACHE_PIECES = 600_000, 1_000_000
 
 #: fixed values: the tokenizer file's own pattern for pieces of text
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -43,45 +45,69 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def byte_letters() -> list[str]:
+    """How byte-level BPE files write bytes: printable Latin-1 as itself, the others from U+0100 on."""
+    kept = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in kept]
+    return [chr(b) if b in kept else chr(256 + others.index(b)) for b in range(256)]
+
+
 class WordTokenizer:
-    """The ids of a word-end BPE file, each distinct word tokenised once.
+    """The ids of a word-end BPE file, each distinct piece of text tokenised once.
 
-    No piece of the file crosses white space, so a text's ids are the ids of its
-    white-space words in a row.  New words of a batch go to the library in one call;
-    their ids are cut apart at the marked last pieces, of which a word has as many as
-    the file's pattern finds in it.  Texts that may hold a special token, or a control
-    character on which the library and ``str.split`` differ, go to the library whole.
+    No piece of the file's pattern crosses white space, so a text's ids are the ids of
+    its white-space words in a row, and a word's those of its pieces.  Texts that may
+    hold a special token, or a control character on which the library and
+    ``str.split`` differ, go to the library whole.
     """
 
     def __init__(self, path: str):
         import regex
         from tokenizers import Tokenizer
+        from tokenizers.models import BPE
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.library = Tokenizer.from_file(path)
         self.pieces = regex.compile(PIECES).findall
-        self.last = np.zeros(self.library.get_vocab_size(), bool)
-        for piece, at in self.library.get_vocab().items():
-            self.last[at] = piece.endswith("</w>")
+        model = json.load(open(path))["model"]
+        pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+        # the file's model alone: pieces need no second pass through its normaliser and pattern
+        self.merge = BPE(vocab=model["vocab"], merges=pairs, end_of_word_suffix=model["end_of_word_suffix"], cache_capacity=0).tokenize
+        self.id_bytes = [i.to_bytes(4, "little") for i in range(self.library.get_vocab_size())]
+        self.letters = byte_letters()
         self.whole = (*(t.content for t in self.library.get_added_tokens_decoder().values()), "\x1c", "\x1d", "\x1e", "\x1f")
         self.known: dict[str, bytes] = {}
+        self.known_pieces: dict[str, bytes] = {}
 
     def alone(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def normal(self, word: str) -> str:
+        if word.isascii():
+            return word.lower()
+        # the library lower-cases each character by itself: no final sigma
+        return unicodedata.normalize("NFC", word).replace("Σ", "σ").lower()
+
+    def cut(self, word: str) -> list[str]:
+        """The pattern's pieces of a word; letters, and letters with a stop, need no search."""
+        word = self.normal(word)
+        if word.isalpha():
+            return [word]
+        if word[-1] in ",." and word[:-1].isalpha():
+            return [word[:-1], word[-1]]
+        return self.pieces(word)
+
+    def piece_ids(self, piece: str) -> bytes:
+        if not (piece.isascii() and piece.isprintable()):  # a printable ASCII byte is written as itself
+            piece = "".join([self.letters[b] for b in piece.encode()])
+        return b"".join([self.id_bytes[t.id] for t in self.merge(piece)])
+
     def learn(self, words: list[str]) -> None:
-        import unicodedata
-
-        for at in range(0, len(words), 4096):
-            some = words[at : at + 4096]
-            ids = np.array(self.library.encode(" ".join(some), add_special_tokens=False).ids, np.uint32)
-            ends = np.concatenate([[0], np.flatnonzero(self.last[ids]) + 1])
-            n = np.cumsum([len(self.pieces(unicodedata.normalize("NFC", w).lower())) for w in some])
-            if n[-1] != len(ends) - 1 or ends[-1] != len(ids):
-                self.known.update((w, self.alone(w)) for w in some)
-                continue
-            raw, cuts = ids.astype("<u4").tobytes(), (4 * ends[np.concatenate([[0], n])]).tolist()
-            self.known.update((w, raw[a:b]) for w, a, b in zip(some, cuts, cuts[1:]))
+        parts = [(w.lower(),) if w.isascii() and w.isalpha() else self.cut(w) for w in words]
+        fresh = set().union(*parts).difference(self.known_pieces)
+        self.known_pieces.update((p, self.piece_ids(p)) for p in fresh)
+        get = self.known_pieces.__getitem__
+        self.known.update((w, get(p[0]) if len(p) == 1 else b"".join(map(get, p))) for w, p in zip(words, parts))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
@@ -91,6 +117,8 @@ class WordTokenizer:
         if len(self.known) + len(fresh) > CACHE_WORDS:
             self.known.clear()
             fresh = every
+        if len(self.known_pieces) > CACHE_PIECES:
+            self.known_pieces.clear()
         self.learn(list(fresh))
         get = self.known.__getitem__
         return [self.alone(text) if some is None else b"".join(map(get, some)) for text, some in zip(texts, held)]
