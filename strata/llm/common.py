@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -120,3 +122,65 @@ def blocks(texts, limit: int = 4 << 20):
         stop = max(start + 1, int(np.searchsorted(offsets, offsets[start] + limit, "right")) - 1)
         yield start, stop
         start = stop
+
+
+def pack_counts(counts: np.ndarray) -> bytes:
+    """Counts as bytes, the large ones apart."""
+    large = counts >= 255
+    return zlib.compress(np.where(large, 255, counts).astype(np.uint8).tobytes() + counts[large].astype("<u8").tobytes(), 1)
+
+
+def unpack_counts(data: bytes, n: int) -> np.ndarray:
+    raw = zlib.decompress(data)
+    counts = np.frombuffer(raw, np.uint8, n).astype(np.int64)
+    counts[counts == 255] = np.frombuffer(raw, "<u8", -1, n)
+    return counts
+
+
+def pack(hashes: np.ndarray, counts: np.ndarray) -> bytes:
+    """Sorted hashes as byte-split gaps, then their counts."""
+    raw = np.diff(hashes, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8)
+    used = np.flatnonzero(raw.any(axis=0))
+    width = int(used[-1]) + 1 if len(used) else 1
+    return np.array([len(hashes), width], "<u4").tobytes() + raw[:, :width].T.tobytes() + pack_counts(counts)
+
+
+def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n, width = (int(x) for x in np.frombuffer(data, "<u4", 2))
+    raw = np.zeros((n, 8), np.uint8)
+    raw[:, :width] = np.frombuffer(data, np.uint8, n * width, 8).reshape(width, n).T
+    return np.cumsum(raw.view("<u8").ravel(), dtype=np.uint64), unpack_counts(data[8 + n * width :], n)
+
+
+def bounds(shards: int) -> np.ndarray:
+    """The least hash of each shard."""
+    return np.array([(s << 64) // shards for s in range(shards)], np.uint64)
+
+
+def chunks(batches, size: int):
+    """Tables of about ``size`` bytes of ``text``, numbered within the task."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    held, n, seq = [], 0, 0
+    for batch in batches:
+        lengths = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False)) if batch.num_rows else []
+        start, base = 0, 0
+        while start < batch.num_rows:
+            stop = max(start + 1, int(np.searchsorted(lengths, base + size - n, "right"))) if n < size else start
+            if stop > start:
+                held.append(batch.slice(start, stop - start))
+                n += int(lengths[stop - 1] - base)
+                base, start = lengths[stop - 1], stop
+            if n >= size:
+                yield seq, pa.Table.from_batches(held).combine_chunks()
+                held, n, seq = [], 0, seq + 1
+    if held:
+        yield seq, pa.Table.from_batches(held).combine_chunks()
+
+
+def chunk_id(seq: int) -> int:
+    """The same for the same rows of a scan, whichever executor runs it."""
+    from pyspark import TaskContext
+
+    return (TaskContext.get().partitionId() << 20) | seq

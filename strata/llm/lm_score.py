@@ -22,16 +22,14 @@ are scored one by one; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import LOWER, mix, powers, prefix_sums, shuffle_partitions, span_hashes, string_buffer, words
+from strata.llm.common import LOWER, bounds, chunk_id, chunks, mix, pack, pack_counts, prefix_sums, shuffle_partitions, span_hashes, string_buffer, unpack, unpack_counts, words
 
 #: bytes of text in a chunk, but for one longer text
-CHUNK = 12 << 20
+CHUNK = 8 << 20
 #: weight of the failure arc: a context seen so often is trusted half
 K = 300.0
 FOLDS, HELD_OUT = 7, 2
@@ -78,80 +76,19 @@ def tabled(tokens: np.ndarray, offsets: np.ndarray, counted: np.ndarray) -> list
     return out
 
 
-def pack_counts(counts: np.ndarray) -> bytes:
-    """Counts as bytes, the large ones apart."""
-    large = counts >= 255
-    return zlib.compress(np.where(large, 255, counts).astype(np.uint8).tobytes() + counts[large].astype("<u8").tobytes(), 1)
-
-
-def unpack_counts(data: bytes, n: int) -> np.ndarray:
-    raw = zlib.decompress(data)
-    counts = np.frombuffer(raw, np.uint8, n).astype(np.int64)
-    counts[counts == 255] = np.frombuffer(raw, "<u8", -1, n)
-    return counts
-
-
-def pack(hashes: np.ndarray, counts: np.ndarray) -> bytes:
-    """Sorted hashes as byte-split gaps, then their counts."""
-    raw = np.diff(hashes, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8)
-    used = np.flatnonzero(raw.any(axis=0))
-    width = int(used[-1]) + 1 if len(used) else 1
-    return np.array([len(hashes), width], "<u4").tobytes() + raw[:, :width].T.tobytes() + pack_counts(counts)
-
-
-def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n, width = (int(x) for x in np.frombuffer(data, "<u4", 2))
-    raw = np.zeros((n, 8), np.uint8)
-    raw[:, :width] = np.frombuffer(data, np.uint8, n * width, 8).reshape(width, n).T
-    return np.cumsum(raw.view("<u8").ravel(), dtype=np.uint64), unpack_counts(data[8 + n * width :], n)
-
-
-def bounds(shards: int) -> np.ndarray:
-    """The least hash of each shard."""
-    return np.array([(s << 64) // shards for s in range(shards)], np.uint64)
-
-
-def _chunks(batches, size: int):
-    """Concatenated (ids, texts, counted) of about ``size`` bytes of text, numbered."""
-    import pyarrow as pa
-    import pyarrow.compute as pc
-
-    held, n, seq = [], 0, 0
-    for batch in batches:
-        lengths = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False)) if batch.num_rows else []
-        start, base = 0, 0
-        while start < batch.num_rows:
-            stop = max(start + 1, int(np.searchsorted(lengths, base + size - n, "right"))) if n < size else start
-            if stop > start:
-                held.append(batch.slice(start, stop - start))
-                n += int(lengths[stop - 1] - base)
-                base, start = lengths[stop - 1], stop
-            if n >= size:
-                yield seq, pa.Table.from_batches(held).combine_chunks()
-                held, n, seq = [], 0, seq + 1
-    if held:
-        yield seq, pa.Table.from_batches(held).combine_chunks()
-
-
-def _chunk_id(seq: int) -> int:
-    from pyspark import TaskContext
-
-    return (TaskContext.get().partitionId() << 20) | seq
-
-
 def _counts(size: int, shards: int):
     """A chunk's n-grams, a message to each shard for words (0) and one for pairs (1)."""
 
     def run(batches):
         import pyarrow as pa
 
-        for seq, table in _chunks(batches, size):
+        for seq, table in chunks(batches, size):
             tokens, offsets = token_hashes(table.column("text"))
             counted = table.column("counted").to_numpy().astype(np.int64)
             for kind, (distinct, counts, _) in enumerate(tabled(tokens, offsets, counted)):
                 cuts = [*np.searchsorted(distinct, bounds(shards)).tolist(), len(distinct)]
                 found = [pack(distinct[a:b], counts[a:b]) for a, b in zip(cuts, cuts[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array([kind] * shards, pa.int32()), pa.array(range(shards), pa.int32()), pa.array([_chunk_id(seq)] * shards, pa.int64()), pa.array(found, pa.binary())], ["kind", "shard", "chunk", "data"])
+                yield pa.RecordBatch.from_arrays([pa.array([kind] * shards, pa.int32()), pa.array(range(shards), pa.int32()), pa.array([chunk_id(seq)] * shards, pa.int64()), pa.array(found, pa.binary())], ["kind", "shard", "chunk", "data"])
 
     return run
 
@@ -181,11 +118,11 @@ def _texts(size: int):
     def run(batches):
         import pyarrow as pa
 
-        for seq, table in _chunks(batches, size):
+        for seq, table in chunks(batches, size):
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
                 out.write_table(table)
-            yield pa.RecordBatch.from_arrays([pa.array([_chunk_id(seq)], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["chunk", "rows"])
+            yield pa.RecordBatch.from_arrays([pa.array([chunk_id(seq)], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["chunk", "rows"])
 
     return run
 

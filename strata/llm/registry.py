@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from strata.llm import exact_dedup, html_text, lm_score, merkle_audit, ngram_join, packing, piece_codec, quality_rules, url_filter
+from strata.llm import exact_dedup, html_text, lm_score, merkle_audit, ngram_join, packing, piece_codec, quality_rules, repeat_index, url_filter
 
 QUERIES = {
     "op4_url_filter": url_filter.op4_url_filter,
+    "op1_suffix_dedup": repeat_index.op1_suffix_dedup,
     "op2_ngram_join": ngram_join.op2_ngram_join,
     "op3_merkle_audit": merkle_audit.op3_merkle_audit,
     "op5_html_text": html_text.op5_html_text,
