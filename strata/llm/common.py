@@ -2,16 +2,29 @@
 
 from __future__ import annotations
 
+import tempfile
 import zlib
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: a side is broadcast only when it has at most so many rows (of a few numbers each)
 BROADCAST_ROWS = 1 << 20
 
 
+def ready(spark: SparkSession) -> None:
+    """Have a checkpoint folder: the one in spark.checkpoint.dir, or one of our own where that is unset."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        told = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not told:
+            # a local master shares its disk with its executors; a cluster shares its warehouse
+            shared = tempfile.gettempdir() if context.master.startswith("local") else spark.conf.get("spark.sql.warehouse.dir")
+            told = f"{shared}/checkpoints"
+        context.setCheckpointDir(told)
+
+
 def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` cut off by checkpoint(), with a broadcast hint only if it is small enough.
 

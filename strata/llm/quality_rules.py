@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strata.llm.common import sized
+
 #: fixed values: the contract's white space and symbols
 WHITE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -104,22 +106,24 @@ def host_verdicts(judged: DataFrame, host: str = "source", max_rate: float = MAX
     return shrunk.select("host", "n", "failed", "rate", (F.col("rate") > max_rate).alias("host_failed"))
 
 
-def judge(docs: DataFrame, text: str = "text", host: str = "source", max_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """All columns of ``docs``, the five counts, ``base_failed`` and ``kept``.
-
-    The counts are taken once and cut off by ``checkpoint()``; hosts are joined
-    back by an equi-join that adaptive execution splits where one host is large.
-    """
-    judged = count_rules(docs, text).checkpoint()
-    return with_verdicts(judged, host, max_rate)
-
-
 def with_verdicts(judged: DataFrame, host: str = "source", max_rate: float = MAX_HOST_RATE) -> DataFrame:
     hosts = host_verdicts(judged, host, max_rate).select(F.col("host").alias("_host"), "host_failed")
     joined = judged.join(hosts, F.col(host).eqNullSafe(F.col("_host")), "left")
     return joined.withColumn("kept", ~(F.col("base_failed") | F.coalesce(F.col("host_failed"), F.lit(False)))).drop("_host", "host_failed")
 
 
+def keep_good(docs: DataFrame, text: str = "text", host: str = "source", max_rate: float = MAX_HOST_RATE) -> DataFrame:
+    """The rows of ``docs`` that are kept, all columns.
+
+    The rules run once, over narrow rows; ``docs`` must give the same rows in the same
+    order each time, as a file scan does.
+    """
+    rows = docs.select(F.monotonically_increasing_id().alias("_rid"), F.col(host).alias("source"), F.col(text).alias("text"))
+    judged = count_rules(rows).select("_rid", "source", "base_failed").checkpoint()
+    gone = sized(with_verdicts(judged, "source", max_rate).filter(~F.col("kept")).select("_rid"))
+    return docs.withColumn("_rid", F.monotonically_increasing_id()).join(gone, "_rid", "left_anti").drop("_rid")
+
+
 def op10_quality_rules(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
     judged = count_rules(docs).drop("text").checkpoint()

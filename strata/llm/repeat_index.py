@@ -121,7 +121,7 @@ class RunLengthIndex:
     def extend(self, column: int) -> None:
         """Prepend a column: a stable sort by its bytes, lengths anew at run heads only."""
         n = len(self.order)
-        byte = np.where(self.left[self.order] >= self.width - column, self.rows[self.order, column], 256).astype(np.int32)
+        byte = np.where(self.left[self.order] >= self.width - column, self.rows[self.order, column].astype(np.int32), np.int32(256))
         key = self.group * 257 + byte
         move = np.argsort(key, kind="stable")
         key, lcp = key[move], self.lcp
