@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
+import threading
+import time
 import zlib
 
 import numpy as np
@@ -34,6 +38,35 @@ def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
+#: seconds after which a worker process lets go of what no task has used
+IDLE_S = 2.0
+_held: dict = {}
+_keeper: list = []
+
+
+def held(key, make):
+    """``make()``, kept in this worker process while tasks use it: its memory serves other operators after that."""
+    found = _held.get(key)
+    value = found[0] if found else make()
+    _held[key] = (value, time.monotonic())
+    if not _keeper or not _keeper[0].is_alive():
+        _keeper[:] = [threading.Thread(target=_let_go, daemon=True)]
+        _keeper[0].start()
+    return value
+
+
+def _let_go() -> None:
+    while _held:
+        time.sleep(IDLE_S / 2)
+        for key in [k for k, (_, used) in list(_held.items()) if time.monotonic() - used > IDLE_S]:
+            del _held[key]
+            gc.collect()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except AttributeError:  # another C library
+                pass
+
+
 def shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

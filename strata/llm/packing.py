@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import shuffle_partitions
+from strata.llm.common import held, shuffle_partitions
 
 SEQUENCE = 4096
 END_ID = 1
@@ -33,7 +33,7 @@ SLACK = 8
 FAN_IN = 8
 OPEN_BINS = 50_000
 #: words and pieces kept with their ids in one Python worker
-CACHE_WORDS, CACHE_PIECES = 600_000, 1_000_000
+CACHE_WORDS, CACHE_PIECES = 500_000, 800_000
 
 #: fixed values: the tokenizer file's own pattern for pieces of text
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -124,14 +124,9 @@ class WordTokenizer:
         return [self.alone(text) if some is None else b"".join(map(get, some)) for text, some in zip(texts, held)]
 
 
-_tokenizers: dict[str, WordTokenizer] = {}
-
-
 def tokenizer(path: str) -> WordTokenizer:
-    """One per worker process: its words serve all tasks that run there."""
-    if path not in _tokenizers:
-        _tokenizers[path] = WordTokenizer(path)
-    return _tokenizers[path]
+    """One per worker process: its words serve the tasks that run there one after another."""
+    return held(("words", path), lambda: WordTokenizer(path))
 
 
 def _pieces(path: str, size: int):

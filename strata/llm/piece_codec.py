@@ -26,6 +26,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strata.llm.common import held
+
 MARK = "▁"
 #: words kept with their ids, and pairs of pieces kept with their verdict, in one Python worker
 CACHE_WORDS, CACHE_PAIRS = 500_000, 1_000_000
@@ -181,14 +183,9 @@ class PieceCodec:
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
-_codecs: dict[str, PieceCodec] = {}
-
-
 def codec(path: str) -> PieceCodec:
-    """One per worker process: its words serve all tasks that run there."""
-    if path not in _codecs:
-        _codecs[path] = PieceCodec(path)
-    return _codecs[path]
+    """One per worker process: its words serve the tasks that run there one after another."""
+    return held(("pieces", path), lambda: PieceCodec(path))
 
 
 def _encoded(path: str, with_ids: bool):

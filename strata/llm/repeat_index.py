@@ -90,9 +90,13 @@ class Anchors:
     def rows(self, pick: np.ndarray) -> np.ndarray:
         """The bytes around the picked anchors, zero where the text has ended."""
         width = self.match - self.gram
-        at = self.places[pick][:, None] + np.arange(-width, self.match)[None, :]
-        inside = (at >= self.first[pick][:, None]) & (at < self.last[pick][:, None])
-        return np.where(inside, self.data[np.clip(at, 0, max(0, len(self.data) - 1))], 0).astype(np.uint8)
+        padded = np.concatenate([np.zeros(width, np.uint8), self.data, np.zeros(self.match, np.uint8)])
+        out = np.lib.stride_tricks.sliding_window_view(padded, width + self.match)[self.places[pick]]
+        cut = np.flatnonzero((self.left[pick] < width) | (self.right[pick] < self.match))
+        column = np.arange(width + self.match, dtype=np.int16)
+        left, right = (width - self.left[pick][cut]).astype(np.int16), (width + self.right[pick][cut]).astype(np.int16)
+        out[cut] *= (column >= left[:, None]) & (column < right[:, None])
+        return out
 
 
 class RunLengthIndex:
@@ -189,7 +193,7 @@ def _of_chunk(table, match: int, gram: int, places=None) -> list[tuple[int, int,
     """Anchors of a chunk's texts, block by block: (first text, last text, anchors)."""
     texts = table.column("text")
     found, used = [], 0
-    for start, stop in blocks(texts, 2 << 20):
+    for start, stop in blocks(texts, 1 << 20):
         data, offsets = string_buffer(texts.slice(start, stop - start))
         if places is None:
             found.append((start, stop, Anchors(data, offsets, match, gram)))
