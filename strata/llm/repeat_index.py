@@ -288,16 +288,28 @@ def _results(table, begins: np.ndarray, ends: np.ndarray, with_text: bool):
     """Result rows of texts; the removed ranges are bytes of the whole column, in any order."""
     import pyarrow as pa
 
-    data, offsets = string_buffer(table.column("text"))
-    depth = np.bincount(begins, minlength=len(data) + 1) - np.bincount(ends, minlength=len(data) + 1)
-    gone = np.cumsum(depth)[:-1] > 0
-    heads = gone.copy()
-    heads[1:] &= ~gone[:-1]
-    firsts = offsets[:-1][np.diff(offsets) > 0]
-    heads[firsts] = gone[firsts]
-    removed, spans = (np.concatenate([[0], np.cumsum(x)]) for x in (gone, heads))
-    removed, spans = (x[offsets[1:]] - x[offsets[:-1]] for x in (removed, spans))
-    left = [(data[a:b][~gone[a:b]] if n else data[a:b]).tobytes() for a, b, n in zip(offsets[:-1].tolist(), offsets[1:].tolist(), removed.tolist())]
+    texts = table.column("text")
+    offsets = string_buffer(texts)[1]
+    order = np.argsort(begins)
+    begins, ends = begins[order], ends[order]
+    removed, spans, left = [], [], []
+    for start, stop in blocks(texts, 1 << 20):  # so that no array is much larger than a block
+        data, own = string_buffer(texts.slice(start, stop - start))
+        low, high = np.searchsorted(begins, offsets[[start, stop]])
+        depth = np.zeros(len(data) + 1, np.int32)
+        np.add.at(depth, begins[low:high] - offsets[start], 1)
+        np.add.at(depth, ends[low:high] - offsets[start], -1)
+        gone = np.cumsum(depth[:-1], dtype=np.int32) > 0
+        heads = gone.copy()
+        heads[1:] &= ~gone[:-1]
+        firsts = own[:-1][np.diff(own) > 0]
+        heads[firsts] = gone[firsts]
+        cut, runs = (np.concatenate([[0], np.cumsum(x)]) for x in (gone, heads))
+        cut, runs = (x[own[1:]] - x[own[:-1]] for x in (cut, runs))
+        removed.append(cut)
+        spans.append(runs)
+        left += [(data[i:j][~gone[i:j]] if n else data[i:j]).tobytes() for i, j, n in zip(own[:-1].tolist(), own[1:].tolist(), cut.tolist())]
+    removed, spans = _joined(removed), _joined(spans)
     out = {"row": table.column("row"), "n_bytes": pa.array(np.diff(offsets)), "n_removed": pa.array(removed), "n_spans": pa.array(spans), "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in left], pa.string())}
     if with_text:
         # a cut may split a character, whose other bytes then go as well
