@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import ctypes
+import functools
 import gc
+import inspect
 import tempfile
 import threading
 import time
@@ -61,10 +63,42 @@ def _let_go() -> None:
         for key in [k for k, (_, used) in list(_held.items()) if time.monotonic() - used > IDLE_S]:
             del _held[key]
             gc.collect()
-            try:
-                ctypes.CDLL(None).malloc_trim(0)
-            except AttributeError:  # another C library
-                pass
+            trim()
+
+
+def trim() -> None:
+    """Give memory that is free in this worker process back to the system."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
+def trimmed(run):
+    """``run``, a function of groups or of batches, with :func:`trim` after each table it gives."""
+
+    if inspect.isgeneratorfunction(run):
+
+        @functools.wraps(run)
+        def each(batches):
+            for out in run(batches):
+                yield out
+                trim()
+
+        return each
+
+    def done(*args):
+        try:
+            return run(*args)
+        finally:
+            trim()
+
+    # Spark looks at the number of arguments
+    forms = {1: lambda table: done(table), 2: lambda key, table: done(key, table), 3: lambda key, left, right: done(key, left, right)}
+    return forms[len(inspect.signature(run).parameters)]
 
 
 def shuffle_partitions(df: DataFrame) -> int:

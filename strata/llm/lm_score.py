@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import LOWER, bounds, chunk_id, chunks, mix, pack, pack_counts, prefix_sums, shuffle_partitions, span_hashes, string_buffer, unpack, unpack_counts, words
+from strata.llm.common import LOWER, bounds, chunk_id, chunks, mix, pack, pack_counts, prefix_sums, shuffle_partitions, span_hashes, string_buffer, trimmed, unpack, unpack_counts, words
 
 #: bytes of text in a chunk, but for one longer text
 CHUNK = 8 << 20
@@ -90,7 +90,7 @@ def _counts(size: int, shards: int):
                 found = [pack(distinct[a:b], counts[a:b]) for a, b in zip(cuts, cuts[1:])]
                 yield pa.RecordBatch.from_arrays([pa.array([kind] * shards, pa.int32()), pa.array(range(shards), pa.int32()), pa.array([chunk_id(seq)] * shards, pa.int64()), pa.array(found, pa.binary())], ["kind", "shard", "chunk", "data"])
 
-    return run
+    return trimmed(run)
 
 
 def _totals(key, table):
@@ -124,7 +124,7 @@ def _texts(size: int):
                 out.write_table(table)
             yield pa.RecordBatch.from_arrays([pa.array([chunk_id(seq)], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["chunk", "rows"])
 
-    return run
+    return trimmed(run)
 
 
 def traverse(tokens, offsets, words_, pairs, n: int, v: int, discount: float, k: float = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -161,7 +161,7 @@ def _scores(n: int, v: int, discount: float, k: float):
         known, base, score = traverse(tokens, offsets, *found, n, v, discount, k)
         return pa.table([table.column("doc_id"), pa.array(np.diff(offsets)), pa.array(known), pa.array(base), pa.array(score)], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
-    return run
+    return trimmed(run)
 
 
 def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: float = K, chunk: int = CHUNK) -> DataFrame:
@@ -171,7 +171,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: float
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(remainder != HELD_OUT, F.lit(False)).alias("counted"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     sent = rows.mapInArrow(_counts(chunk, shards), "kind int, shard int, chunk long, data binary")
-    answers = sent.groupBy("kind", "shard").applyInArrow(_totals, "kind int, shard int, chunk long, data binary, length long, n long, v long, n1 long, n2 long").checkpoint()
+    answers = sent.groupBy("kind", "shard").applyInArrow(trimmed(_totals), "kind int, shard int, chunk long, data binary, length long, n long, v long, n1 long, n2 long").checkpoint()
     sums = answers.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "v", "n1", "n2")]).first()
     # the usual estimate from the counts of counts; between them where a corpus has none
     discount = sums.n1 / (sums.n1 + 2 * sums.n2) if sums.n1 and sums.n2 else 0.5

@@ -37,13 +37,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import blocks, bounds, chunk_id, chunks, mix, prefix_sums, shuffle_partitions, span_hashes, string_buffer
+from strata.llm.common import blocks, bounds, chunk_id, chunks, mix, prefix_sums, shuffle_partitions, span_hashes, string_buffer, trimmed
 
 MATCH = 200
 GRAM = 64
 #: contexts of one anchor that are indexed together
 HOT = 4096
-CHUNK = 8 << 20
+CHUNK = 4 << 20
 _SIDE = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -226,7 +226,7 @@ def _counted(size: int, shards: int, match: int, gram: int):
             rows = [(COUNTS, s, chunk_id(seq), _zip(np.diff(prints[a:b], prepend=np.uint64(0)), contexts[a:b], counts[a:b])) for s, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
             yield from _messages(rows).to_batches()
 
-    return run
+    return trimmed(run)
 
 
 #: what a chunk is told of a context
@@ -252,7 +252,7 @@ def _judged(hot: int):
         rows = [(COUNTS, s, k, _zip(told[at[a:b]])) for s, k, a, b in zip(table.column("shard").to_pylist(), table.column("chunk").to_pylist(), cuts, cuts[1:])]
         return _messages(rows)
 
-    return run
+    return trimmed(run)
 
 
 def _texts(size: int, match: int, gram: int):
@@ -266,7 +266,7 @@ def _texts(size: int, match: int, gram: int):
             places = np.concatenate([np.append(len(a.places), np.diff(a.places, prepend=0)) for _, _, a in found]).astype(np.uint32)
             yield pa.RecordBatch.from_arrays([pa.array([chunk_id(seq)], pa.int64()), pa.array([_rows_out(table)], pa.binary()), pa.array([_zip(places)], pa.binary())], ["chunk", "rows", "places"])
 
-    return run
+    return trimmed(run)
 
 
 def _rows_out(table) -> bytes:
@@ -408,7 +408,7 @@ def _split(shards: int, match: int, gram: int, with_text: bool):
             rows.append((PENDING, 0, chunk, _pair(_zip(*marks, slot_at, slot, string_at, string), _rows_out(rest))))
         return _messages(rows)
 
-    return run
+    return trimmed(run)
 
 
 def _pair(a: bytes, b: bytes) -> bytes:
@@ -449,7 +449,7 @@ def _indexed(match: int, gram: int):
             answers = [(least[at[i:j]].astype(np.int16), most[at[i:j]].astype(np.int16)) for i, j in zip(cuts, cuts[1:])]
         return _messages([(key[0].as_py(), s, k, _zip(*x)) for s, k, x in zip(table.column("shard").to_pylist(), table.column("chunk").to_pylist(), answers)])
 
-    return run
+    return trimmed(run)
 
 
 def _finished(match: int, with_text: bool, schema):
@@ -471,7 +471,7 @@ def _finished(match: int, with_text: bool, schema):
         table = _rows_in(rows)
         return _results(table, _joined([begins, slot_at[hit] - most[hit], string_at]), _joined([ends, slot_at[hit] - least[hit] + match, string_at + match]), with_text).cast(schema)
 
-    return run
+    return trimmed(run)
 
 
 def _opened(schema):
@@ -480,7 +480,7 @@ def _opened(schema):
             for data in batch.column(0).to_pylist():
                 yield from _rows_in(data).cast(schema).to_batches()
 
-    return run
+    return trimmed(run)
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", match: int = MATCH, gram: int = GRAM, hot: int = HOT, chunk: int = CHUNK, with_text: bool = True) -> DataFrame:
