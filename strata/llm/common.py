@@ -31,6 +31,19 @@ def ready(spark: SparkSession) -> None:
         context.setCheckpointDir(told)
 
 
+def numbered_rows(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a running number of its rows, in a column whose name it doesn't have."""
+    taken = {c.lower() for c in docs.columns}
+    name = next(n for n in (f"_rid{'_' * k}" for k in range(len(taken) + 1)) if n not in taken)
+    return docs.withColumn(name, F.monotonically_increasing_id()), name
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose numbers are in the one column of ``gone``."""
+    rows, name = numbered_rows(docs)
+    return rows.join(sized(gone.toDF(name)), name, "left_anti").drop(name).select(*[f"`{c}`" for c in docs.columns])
+
+
 def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` cut off by checkpoint(), with a broadcast hint only if it is small enough.
 

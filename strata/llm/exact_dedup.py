@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import shuffle_partitions, sized
+from strata.llm.common import shuffle_partitions, sized, without
 
 FILL = 0.75
 #: a task's filter is sent on when it holds so many fingerprints
@@ -189,8 +189,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, all columns; ``docs`` must give the same rows in the same order each time, as a file scan does."""
-    gone = sized(dedup(docs, doc_id, text).filter(~F.col("kept")).select(F.col("rid").alias("_rid")))
-    return docs.withColumn("_rid", F.monotonically_increasing_id()).join(gone, "_rid", "left_anti").drop("_rid")
+    return without(docs, dedup(docs, doc_id, text).filter(~F.col("kept")).select("rid"))
 
 
 def op7_exact_dedup(spark, sf_dir: str) -> DataFrame:

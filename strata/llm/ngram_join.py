@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import LOWER, blocks, mix, prefix_sums, shuffle_partitions, sized, span_hashes, string_buffer, words
+from strata.llm.common import LOWER, blocks, mix, prefix_sums, shuffle_partitions, sized, span_hashes, string_buffer, without, words
 from strata.llm.components import components
 
 WORDS = 5
@@ -266,8 +266,8 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **opti
     """The rows of ``docs`` without all but one row of each class, all columns."""
     found = near_duplicates(docs, doc_id, text, **options).filter("n_shingles > 0").checkpoint()
     stays = found.groupBy("class_id").agg(F.min("rid").alias("rid"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    gone = found.join(stays.select(F.col("class_id"), F.col("rid").alias("stays")), found["class_id"].eqNullSafe(stays["class_id"])).filter("rid <> stays").select(F.col("rid").alias("_rid"))
-    return docs.withColumn("_rid", F.monotonically_increasing_id()).join(sized(gone), "_rid", "left_anti").drop("_rid")
+    gone = found.join(stays.select(F.col("class_id"), F.col("rid").alias("stays")), found["class_id"].eqNullSafe(stays["class_id"])).filter("rid <> stays").select("rid")
+    return without(docs, gone)
 
 
 def op2_ngram_join(spark, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import sized
+from strata.llm.common import without
 
 #: fixed values: the contract's white space and symbols
 WHITE = " \t\n\x0b\x0c\r"
@@ -120,8 +120,7 @@ def keep_good(docs: DataFrame, text: str = "text", host: str = "source", max_rat
     """
     rows = docs.select(F.monotonically_increasing_id().alias("_rid"), F.col(host).alias("source"), F.col(text).alias("text"))
     judged = count_rules(rows).select("_rid", "source", "base_failed").checkpoint()
-    gone = sized(with_verdicts(judged, "source", max_rate).filter(~F.col("kept")).select("_rid"))
-    return docs.withColumn("_rid", F.monotonically_increasing_id()).join(gone, "_rid", "left_anti").drop("_rid")
+    return without(docs, with_verdicts(judged, "source", max_rate).filter(~F.col("kept")).select("_rid"))
 
 
 def op10_quality_rules(spark, sf_dir: str) -> DataFrame:

@@ -231,6 +231,8 @@ def _counted(size: int, shards: int, match: int, gram: int):
 
 #: what a chunk is told of a context
 ONCE, WHOLE, SOME, MANY = range(4)
+#: added in a group of several contexts: to one that repeats whole, and to one that this chunk sends
+REPEATS, OWN = 4, 8
 
 
 def _judged(hot: int):
@@ -246,10 +248,13 @@ def _judged(hot: int):
         group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(p))))
         kinds = np.bincount(group)[group]
         told = np.where(kinds == 1, np.where(total > 1, WHOLE, ONCE), np.where(kinds > hot, MANY, SOME)).astype(np.uint8)
-        # in a mixed group, 4 is added for a context that repeats whole
-        told[(kinds > 1) & (total > 1)] += 4
+        told[(kinds > 1) & (total > 1)] |= REPEATS
+        # the first chunk that holds a context sends it, the others need not
+        owner = np.empty(len(p), np.int64)
+        owner[at[::-1]] = np.arange(len(at))[::-1]
+        told = told[at] | np.where(owner[at] == np.arange(len(at)), OWN, 0).astype(np.uint8)
         cuts = np.cumsum([0] + [len(q) for q, _, _ in parts])
-        rows = [(COUNTS, s, k, _zip(told[at[a:b]])) for s, k, a, b in zip(table.column("shard").to_pylist(), table.column("chunk").to_pylist(), cuts, cuts[1:])]
+        rows = [(COUNTS, s, k, _zip(told[a:b])) for s, k, a, b in zip(table.column("shard").to_pylist(), table.column("chunk").to_pylist(), cuts, cuts[1:])]
         return _messages(rows)
 
     return trimmed(run)
@@ -361,16 +366,17 @@ def _split(shards: int, match: int, gram: int, with_text: bool):
             mine = at[used : used + len(a.places)]
             used += len(mine)
             says, base = told[mine], offsets[start]
-            whole = np.flatnonzero((says == WHOLE) | (says >= 4))
+            own, says = says & OWN > 0, says & (OWN - 1)
+            whole = np.flatnonzero((says == WHOLE) | (says & REPEATS > 0))
             short = np.maximum(match - (a.last[whole] - a.places[whole]), 0)  # near the text's end, strings begin earlier
             fits = short <= a.left[whole]
             begins.append((a.places[whole] - a.left[whole] + base)[fits])
             ends.append((a.places[whole] - short + match + base)[fits])
-            some = np.flatnonzero((says & 3) == SOME)
+            some = np.flatnonzero(((says & 3) == SOME) & own)
             some = some[np.unique(mine[some], return_index=True)[1]]
             some = some[fresh[mine[some]]]
             fresh[mine[some]] = False
-            sent.append((mine[some], a.contexts[some], a.rows(some), a.left[some], a.right[some]))
+            sent.append((mine[some], a.rows(some), a.left[some], a.right[some]))
             wait = np.flatnonzero(says == SOME)
             slots.append((mine[wait], a.places[wait] + base))
             text = np.searchsorted(a.offsets, a.places, "right") - 1 + start
@@ -385,11 +391,11 @@ def _split(shards: int, match: int, gram: int, with_text: bool):
         if done.num_rows:
             rows.append((DONE, 0, chunk, _rows_out(_results(done, *_moved(offsets, ~waits, begins, ends), with_text))))
 
-        place, contexts, matrix, left, right = (np.concatenate([x[k] for x in sent]) for k in range(5))
+        place, matrix, left, right = (np.concatenate([x[k] for x in sent]) for k in range(4))
         order = np.argsort(place)
-        place, contexts, matrix, left, right = (x[order] for x in (place, contexts, matrix, left, right))
+        place, matrix, left, right = (x[order] for x in (place, matrix, left, right))
         cuts = [*np.searchsorted(prints[place], bounds(shards)).tolist(), len(place)]
-        rows += [(CONTEXTS, k, chunk, _zip(prints[place[i:j]], contexts[i:j], matrix[i:j], left[i:j].astype(np.uint8), right[i:j].astype(np.uint8))) for k, (i, j) in enumerate(zip(cuts, cuts[1:])) if j > i]
+        rows += [(CONTEXTS, k, chunk, _zip(prints[place[i:j]], matrix[i:j], left[i:j].astype(np.uint8), right[i:j].astype(np.uint8))) for k, (i, j) in enumerate(zip(cuts, cuts[1:])) if j > i]
 
         strings, which, n = np.unique(_joined([k for k, _, _ in keys], np.uint64), return_inverse=True, return_counts=True)
         cuts = [*np.searchsorted(strings, bounds(shards)).tolist(), len(strings)]
@@ -432,21 +438,15 @@ def _indexed(match: int, gram: int):
             cuts = np.cumsum([0] + [len(x) for x in strings])
             answers = [(again[i:j],) for i, j in zip(cuts, cuts[1:])]
         else:
-            parts = [_unzip(x, np.uint64, np.uint64, np.uint8, np.uint8, np.uint8) for x in table.column("data").to_pylist()]
-            prints, contexts, rows, left, right = (np.concatenate([p[k] for p in parts]) for k in range(5))
-            # a context that several chunks sent stands in the index once
-            order = np.lexsort((contexts, prints))
-            p, c = prints[order], contexts[order]
-            first = np.ones(len(p), bool)
-            first[1:] = (p[1:] != p[:-1]) | (c[1:] != c[:-1])
-            at = np.empty(len(p), np.int64)
-            at[order] = np.cumsum(first) - 1
-            pick = order[first]
+            parts = [_unzip(x, np.uint64, np.uint8, np.uint8, np.uint8) for x in table.column("data").to_pylist()]
+            prints, rows, left, right = (np.concatenate([p[k] for p in parts]) for k in range(4))
+            pick = np.argsort(prints, kind="stable")
             group = np.cumsum(np.concatenate([[False], prints[pick][1:] != prints[pick][:-1]]))
             index = RunLengthIndex(group, rows.reshape(-1, 2 * match - gram)[pick], left[pick].astype(np.int64), right[pick].astype(np.int64), match, gram)
-            least, most = index.long_matches()
+            least, most = np.empty(len(pick), np.int16), np.empty(len(pick), np.int16)
+            least[pick], most[pick] = index.long_matches()
             cuts = np.cumsum([0] + [len(x[0]) for x in parts])
-            answers = [(least[at[i:j]].astype(np.int16), most[at[i:j]].astype(np.int16)) for i, j in zip(cuts, cuts[1:])]
+            answers = [(least[i:j], most[i:j]) for i, j in zip(cuts, cuts[1:])]
         return _messages([(key[0].as_py(), s, k, _zip(*x)) for s, k, x in zip(table.column("shard").to_pylist(), table.column("chunk").to_pylist(), answers)])
 
     return trimmed(run)
