@@ -70,7 +70,8 @@ class Anchors:
         self.first, self.last = offsets[text], offsets[text + 1]
         self.left = np.minimum(self.places - self.first, match - gram)
         self.right = np.minimum(self.last - self.places, match)
-        self.prints = span_hashes(self.sums, self.places, self.places + gram)
+        # an anchor's hash is a least one; mixed again, shards by hash range are even
+        self.prints = mix(span_hashes(self.sums, self.places, self.places + gram) ^ _SIDE)
         around = span_hashes(self.sums, self.places - self.left, self.places + self.right)
         self.contexts = mix(around + self.left.astype(np.uint64) * _SIDE)
 
