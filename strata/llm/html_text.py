@@ -45,17 +45,19 @@ THRESHOLD = 0.5
 
 
 class Lines(HTMLParser):
-    """Parser events gathered into lines of (text, tags, region, heading).
+    """Parser events gathered into lines of (text, tags, region, heading, linked).
 
-    ``region`` numbers the marked article a line stands in, 0 for none.
+    ``region`` numbers the marked article a line stands in, 0 for none; ``linked`` tells
+    that all of a line's text is links.
     """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, bool]] = []
+        self.lines: list[tuple[str, int, int, bool, bool]] = []
         self.stack: list[tuple[str, bool, int]] = []  # tag, skips, region outside
-        self.skip = self.region = self.regions = self.tags = 0
+        self.skip = self.region = self.regions = self.tags = self.links = 0
         self.heading = False
+        self.linked = True
         self.text: list[str] = []
 
     def end_line(self):
@@ -63,9 +65,9 @@ class Lines(HTMLParser):
             text = SPACES.sub(" ", "".join(self.text)).strip()
             self.text.clear()
             if text:
-                self.lines.append((text, self.tags, self.region, self.heading))
+                self.lines.append((text, self.tags, self.region, self.heading, self.linked))
                 self.tags = 0
-        self.heading = False
+        self.heading, self.linked = False, True
 
     def handle_starttag(self, tag, attrs):
         if tag in BLOCK:
@@ -84,6 +86,7 @@ class Lines(HTMLParser):
         if attrs and not skips and tag not in ("html", "body"):
             said = " ".join(v.lower() for k, v in attrs if v and k in ("class", "id", "role"))
             skips = bool(said and MARKS.search(said) and not ARTICLE.search(said)) or any(k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and bool(v) and "display:none" in v.replace(" ", "") for k, v in attrs)
+        self.links += tag == "a"
         self.stack.append((tag, skips, self.region))
         self.skip += skips
         if tag in ("article", "main") and not skips and not self.region:
@@ -101,6 +104,7 @@ class Lines(HTMLParser):
         for k in range(len(self.stack) - 1, -1, -1):
             if self.stack[k][0] == tag:
                 self.skip -= sum(skips for _, skips, _ in self.stack[k:])
+                self.links -= sum(t == "a" for t, _, _ in self.stack[k:])
                 self.region = self.stack[k][2]
                 del self.stack[k:]
                 return
@@ -114,6 +118,8 @@ class Lines(HTMLParser):
     def handle_data(self, data):
         if not self.skip:
             self.text.append(data)
+            if not self.links and self.linked and not data.isspace():
+                self.linked = False
 
 
 def smooth(values: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -126,21 +132,22 @@ def smooth(values: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(values, kernel)[at] / np.convolve(np.ones(len(values)), kernel)[at]
 
 
-def content_lines(lines: list[tuple[str, int, int, bool]]) -> list[str]:
+def content_lines(lines: list[tuple[str, int, int, bool, bool]]) -> list[str]:
     """The lines of the content regions, in page order.
 
     Where the smoothed ratio is above the threshold a line is content.  A marked
     article with a content line is a content region; without marked articles the
     region reaches from the first content line, and the headings right above it, to
-    the last.  All lines of a content region are text.
+    the last, and the lines right below it that are not links.  All lines of a content
+    region are text.
     """
     if not lines:
         return []
-    ratio = smooth(np.array([len(t) / max(1, n) for t, n, _, _ in lines], float))
+    ratio = smooth(np.array([len(t) / max(1, n) for t, n, *_ in lines], float))
     content = ratio >= THRESHOLD * ratio.std()
     if not content.any():
         content[:] = True
-    regions = np.array([r for _, _, r, _ in lines])
+    regions = np.array([r for _, _, r, *_ in lines])
     chosen = set(regions[content & (regions > 0)].tolist())
     if chosen:
         keep = np.isin(regions, list(chosen))
@@ -149,6 +156,8 @@ def content_lines(lines: list[tuple[str, int, int, bool]]) -> list[str]:
         first, last = int(at[0]), int(at[-1])
         while first and lines[first - 1][3]:
             first -= 1
+        while last + 1 < len(lines) and not lines[last + 1][4]:
+            last += 1
         keep = np.zeros(len(lines), bool)
         keep[first : last + 1] = True
     return [line[0] for line, k in zip(lines, keep.tolist()) if k]

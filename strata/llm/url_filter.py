@@ -59,9 +59,12 @@ def features(host: Column, path: Column) -> Column:
     """Distinct hashed n-grams of the marked host and of the marked path, 0 <= f < DIM."""
 
     def grams(text: Column, salt: int) -> Column:
+        def of_length(t: Column, n: int) -> Column:
+            gram = lambda i: F.pmod(F.xxhash64(F.lit(salt), F.substr(t, i, F.lit(n))), F.lit(DIM)).cast("int")
+            return F.when(F.length(t) >= n, F.transform(F.sequence(F.lit(1), F.length(t) - (n - 1)), gram)).otherwise(F.array().cast("array<int>"))
+
         def of(t: Column) -> Column:
-            some = [F.when(F.length(t) >= n, F.transform(F.sequence(F.lit(1), F.length(t) - (n - 1)), lambda i, n=n: F.pmod(F.xxhash64(F.lit(salt), F.substr(t, i, F.lit(n))), F.lit(DIM)).cast("int"))).otherwise(F.array().cast("array<int>")) for n in GRAMS]
-            return F.concat(*some)
+            return F.concat(*[of_length(t, n) for n in GRAMS])
 
         return _let(text, of)
 

@@ -61,7 +61,8 @@ def test_rests_of_many_nodes_are_merged(spark):
     items = spark.range(500).selectExpr("id as key", "40 + id % 20 as length")
     bins = P.pack(items, 100, 0, leaves=70).collect()
     assert sorted(m["key"] for b in bins for m in b.members) == list(range(500)) and all(b.length == sum(m["length"] for m in b.members) <= 100 for b in bins)
-    assert len(bins) <= 255 and len({b.sequence_id for b in bins}) == len(bins)
+    # 248 bins hold the sum; the first round has seven items to a node
+    assert len(bins) <= 248 * 1.15 and len({b.sequence_id for b in bins}) == len(bins)
 
 
 def test_full_nodes_send_their_fullest_bins(spark, monkeypatch):
