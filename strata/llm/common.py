@@ -19,9 +19,16 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 1 << 20
 
 
+#: rows in an Arrow batch; whole texts are long, and both sides hold a batch several times
+BATCH_ROWS = 1000
+
+
 def ready(spark: SparkSession) -> None:
-    """Have a checkpoint folder: the one in spark.checkpoint.dir, or one of our own where that is unset."""
+    """Have small Arrow batches, and a checkpoint folder: the one in spark.checkpoint.dir, or one of our own where that is unset."""
     context = spark.sparkContext
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, BATCH_ROWS)
     if context.getCheckpointDir() is None:
         told = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
         if not told:
@@ -207,7 +214,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def blocks(texts, limit: int = 4 << 20):
+def blocks(texts, limit: int = 1 << 20):
     """Slices (start, stop) of an Arrow string array with at most ``limit`` bytes each, or one text."""
     _, offsets = string_buffer(texts)
     start = 0

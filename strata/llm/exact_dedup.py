@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import shuffle_partitions, sized, without
+from strata.llm.common import shuffle_partitions, sized, trimmed, without
 
 FILL = 0.75
 #: a task's filter is sent on when it holds so many fingerprints
@@ -115,7 +115,7 @@ def _digests(with_text: bool):
             columns = [batch.column(0), batch.column(1), prints, digests]
             yield pa.RecordBatch.from_arrays(columns + [normal.cast(pa.binary())] * with_text, ["rid", "doc_id", "fp", "sha"] + ["body"] * with_text)
 
-    return run
+    return trimmed(run)
 
 
 def _filters(shards: int):
@@ -141,7 +141,7 @@ def _filters(shards: int):
         if n:
             yield sent(held)
 
-    return run
+    return trimmed(run)
 
 
 def _merged(table):

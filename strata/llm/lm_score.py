@@ -26,10 +26,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import LOWER, bounds, chunk_id, chunks, mix, pack, pack_counts, prefix_sums, shuffle_partitions, span_hashes, string_buffer, trimmed, unpack, unpack_counts, words
+from strata.llm.common import LOWER, blocks, bounds, chunk_id, chunks, mix, pack, pack_counts, prefix_sums, shuffle_partitions, span_hashes, string_buffer, trimmed, unpack, unpack_counts, words
 
 #: bytes of text in a chunk, but for one longer text
-CHUNK = 8 << 20
+CHUNK = 6 << 20
 #: weight of the failure arc: a context seen so often is trusted half
 K = 300.0
 FOLDS, HELD_OUT = 7, 2
@@ -41,6 +41,12 @@ _PAIR = np.uint64(0xD1342543DE82EF95)
 
 def token_hashes(texts) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the tokens of an Arrow string array, each text closed by END, and the texts' offsets into them."""
+    parts = [_block_tokens(texts.slice(start, stop - start)) for start, stop in blocks(texts)]
+    lengths = np.concatenate([np.zeros(1, np.int64), *(np.diff(o) for _, o in parts)])
+    return np.concatenate([np.zeros(0, np.uint64), *(t for t, _ in parts)]), np.cumsum(lengths)
+
+
+def _block_tokens(texts) -> tuple[np.ndarray, np.ndarray]:
     data, offsets = string_buffer(texts)
     data = LOWER[data]
     starts, ends, firsts = words(data, offsets)
@@ -87,8 +93,8 @@ def _counts(size: int, shards: int):
             counted = table.column("counted").to_numpy().astype(np.int64)
             for kind, (distinct, counts, _) in enumerate(tabled(tokens, offsets, counted)):
                 cuts = [*np.searchsorted(distinct, bounds(shards)).tolist(), len(distinct)]
-                found = [pack(distinct[a:b], counts[a:b]) for a, b in zip(cuts, cuts[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array([kind] * shards, pa.int32()), pa.array(range(shards), pa.int32()), pa.array([chunk_id(seq)] * shards, pa.int64()), pa.array(found, pa.binary())], ["kind", "shard", "chunk", "data"])
+                found = [(k, pack(distinct[a:b], counts[a:b])) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+                yield pa.RecordBatch.from_arrays([pa.array([kind] * len(found), pa.int32()), pa.array([k for k, _ in found], pa.int32()), pa.array([chunk_id(seq)] * len(found), pa.int64()), pa.array([x for _, x in found], pa.binary())], ["kind", "shard", "chunk", "data"])
 
     return trimmed(run)
 

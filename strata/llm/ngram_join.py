@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import LOWER, blocks, mix, prefix_sums, shuffle_partitions, sized, span_hashes, string_buffer, without, words
+from strata.llm.common import LOWER, blocks, mix, prefix_sums, shuffle_partitions, sized, span_hashes, string_buffer, trimmed, without, words
 from strata.llm.components import components
 
 WORDS = 5
@@ -45,6 +45,12 @@ def bands_for(threshold: float = THRESHOLD, recall: float = RECALL, rows: int =
 
 def shingles(texts, n: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each text of an Arrow array, sorted, and their offsets."""
+    parts = [_block_shingles(texts.slice(start, stop - start), n) for start, stop in blocks(texts)]
+    lengths = np.concatenate([np.zeros(1, np.int64), *(np.diff(o) for _, o in parts)])
+    return np.concatenate([np.zeros(0, np.uint64), *(g for g, _ in parts)]), np.cumsum(lengths)
+
+
+def _block_shingles(texts, n: int) -> tuple[np.ndarray, np.ndarray]:
     data, offsets = string_buffer(texts)
     data = LOWER[data]
     starts, ends, firsts = words(data, offsets)
@@ -107,7 +113,7 @@ def _signed(texts_at: int, bands: int, rows: int, n: int):
                     ["rid", "doc_id", "k1", "k2", "n", "bands"],
                 )
 
-    return run
+    return trimmed(run)
 
 
 def _pairs_of_postings(part: np.ndarray, gram: np.ndarray, row: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -217,7 +223,7 @@ def _verify(threshold: float, n: int):
         links = np.bincount(a, weights=members[b], minlength=m) + np.bincount(b, weights=members[a], minlength=m)
         return pa.table({"rid": pa.array(rid), "links": pa.array(links.astype(np.int64)), "root": pa.array(rid[_roots(m, a, b)])})
 
-    return run
+    return trimmed(run)
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS, n: int = WORDS, part: int = PART) -> DataFrame:
