@@ -17,7 +17,7 @@ from strata.errors import BadSchema
 from strata.functions import schema as S
 from strata.functions.timefn import bucket, format_duration, parse_duration
 from strata.operators import catalog, stats
-from strata.operators.table import Action, TieredTable
+from strata.operators.table import Action, TieredTable, empty
 
 
 def _bucketed(table: TieredTable, rows: DataFrame, grain: int) -> DataFrame:
@@ -78,7 +78,7 @@ def materialized(table: TieredTable, grain: str | int) -> DataFrame:
         raise BadSchema(f"{table.name} has no rollup {grain}")
     kind = cell_schema(table)
     paths = [table.store.at("rollups", n) for n in found["segments"]]
-    rows = table.spark.read.schema(kind).parquet(*paths) if paths else table.spark.createDataFrame([], kind)
+    rows = table.spark.read.schema(kind).parquet(*paths) if paths else empty(table.spark, kind)
     if found["trim"] is not None:
         rows = rows.filter(table.axis_micros() + us > found["trim"])
     return rows

@@ -55,6 +55,11 @@ def _now() -> int:
     return time.time_ns() // 1000
 
 
+def empty(spark: SparkSession, schema: T.StructType) -> DataFrame:
+    """No rows, in a form that the optimizer takes out of unions."""
+    return spark.range(0).filter(F.lit(False)).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields])
+
+
 class TieredTable:
     """``create`` or ``open`` one; ``df()`` and ``scan()`` read it, ``insert`` adds rows."""
 
@@ -164,7 +169,7 @@ class TieredTable:
 
     def _read(self, paths: list[str]) -> DataFrame:
         if not paths:
-            return self.spark.createDataFrame([], self.schema)
+            return empty(self.spark, self.schema)
         return self.spark.read.schema(self.schema).parquet(*paths)
 
     def _hot_paths(self, low: int | None = None, high: int | None = None) -> list[str]:
@@ -308,7 +313,8 @@ class TieredTable:
         path = self.store.at("hot", name)
         axis = self.axis_micros()
         told = F.when(axis.isNull(), F.raise_error(F.lit(f"{self.axis} is null"))).otherwise(bucket(axis, self.tier0, self.origin))
-        rows.withColumn(BUCKET, told).repartition(BUCKET, F.floor(F.rand(7) * 8)).write.partitionBy(BUCKET).parquet(path)
+        # adaptive execution splits the partitions of a large bucket and joins those of small ones
+        rows.withColumn(BUCKET, told).hint("rebalance", BUCKET).write.partitionBy(BUCKET).parquet(path)
         # counts come from the footers of what was just written
         counts = self.spark.read.parquet(path).groupBy(BUCKET).count().collect() if any(n.startswith(BUCKET) for n in self.store.children(path)) else []
         if not counts:
@@ -400,7 +406,7 @@ class TieredTable:
         kind = T.StructType([T.StructField(n, t) for n, t in parts])
         paths = [self.store.at("stats", s["id"]) for s in self.state["stats"]]
         if not paths:
-            return self.spark.createDataFrame([], kind)
+            return empty(self.spark, kind)
         live = self.spark.createDataFrame([(e["path"],) for e in catalog.active(self.state)], "path string")
         return self.spark.read.schema(kind).parquet(*paths).join(live, "path", "left_semi")
 

@@ -64,8 +64,8 @@ def work_dir(spark: SparkSession) -> str:
 
 
 _built: dict[tuple, TieredTable] = {}
-SCHEMA = "ts TIMESTAMP, event_id INTEGER, user_id INTEGER, event_type TEXT, value REAL"
-COLUMNS = ["ts", "event_id", "user_id", "event_type", "value"]
+SCHEMA = "ts TIMESTAMP, event_type TEXT, value REAL"
+COLUMNS = ["ts", "event_type", "value"]
 
 
 def table(spark: SparkSession, sf_dir: str, kind: str = "plain") -> TieredTable:
@@ -73,14 +73,15 @@ def table(spark: SparkSession, sf_dir: str, kind: str = "plain") -> TieredTable:
     key = (spark.sparkContext.applicationId, sf_dir, kind)
     if key in _built:
         return _built[key]
-    rows = read(spark, sf_dir, "events").select(*COLUMNS)
+    source = read(spark, sf_dir, "events")
+    rows = source.select(*COLUMNS)
     tiers = "1d,7d,origin=2024-01-01" if kind == "monday" else "1d,7d"
     made = TieredTable.create(spark, "events", SCHEMA, work_dir(spark), tiers)
     if kind == "late":
-        made.insert(rows.filter("event_id % 10 <> 0"))
+        made.insert(source.filter("event_id % 10 <> 0").select(*COLUMNS))
         rollup.create_rollup(made, "1h")
         made.maintain(NOW)
-        made.insert(rows.filter("event_id % 10 = 0"))
+        made.insert(source.filter("event_id % 10 = 0").select(*COLUMNS))
         made.maintain(NOW)
     elif kind == "altered":
         early = F.col("ts") < F.lit("2024-01-10").cast("timestamp_ntz")
@@ -108,6 +109,11 @@ def rounded(df: DataFrame) -> DataFrame:
     return df.withColumns({"value_sum": F.round("value_sum", 4), "value_sumsq": F.round("value_sumsq", 4)})
 
 
+def averaged(df: DataFrame) -> DataFrame:
+    """Rounded sums and the averages that follow from them, the same in any engine."""
+    return rounded(df).withColumn("value_avg", stats.average("value"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hourly continuous aggregate, straight from the events."""
     rows = events(spark, sf_dir).withColumn("bucket", bucket(F.col("us"), "1h"))
@@ -193,11 +199,11 @@ def tumbling_window(spark, sf_dir):
 
 # -- tiers and lifecycle (S, W, L)
 
-RAW = "SELECT event_id, epoch_us(ts) AS us, event_type, user_id, value FROM events"
+RAW = "SELECT epoch_us(ts) AS us, event_type, value FROM events"
 
 
 def _raw(rows: DataFrame) -> DataFrame:
-    return rows.select("event_id", F.unix_micros("ts").alias("us"), "event_type", "user_id", "value")
+    return rows.select(F.unix_micros("ts").alias("us"), "event_type", "value")
 
 
 @query(RAW)
@@ -221,8 +227,8 @@ def hot_only(spark, sf_dir):
 
 
 # the tier grid starts at the epoch, a Thursday; on a retained table weeks go when their end is 14 days old
-@query(f"""WITH f AS (SELECT event_id, epoch_us(ts) AS us, event_type, user_id, value, {floor_sql(DAY)} + {DAY} AS day_end FROM events)
-SELECT event_id, us, event_type, user_id, value FROM f WHERE day_end > {NOW - 14 * DAY}""")
+@query(f"""WITH f AS (SELECT epoch_us(ts) AS us, event_type, value, {floor_sql(DAY)} + {DAY} AS day_end FROM events)
+SELECT us, event_type, value FROM f WHERE day_end > {NOW - 14 * DAY}""")
 def retention_view(spark, sf_dir):
     return _raw(table(spark, sf_dir, "retained").df())
 
@@ -240,9 +246,9 @@ def policy_table(spark, sf_dir):
     return table(spark, sf_dir).policy_df().select("tiers_us", "safety_margin_us", "origin_us", "ts_column")
 
 
-@query("SELECT event_id, CASE WHEN ts >= TIMESTAMP '2024-01-10' THEN value * 2 END AS doubled FROM events")
+@query("SELECT epoch_us(ts) AS us, CASE WHEN ts >= TIMESTAMP '2024-01-10' THEN value * 2 END AS doubled FROM events")
 def alter_null_history(spark, sf_dir):
-    return table(spark, sf_dir, "altered").df().select("event_id", "doubled")
+    return table(spark, sf_dir, "altered").df().select(F.unix_micros("ts").alias("us"), "doubled")
 
 
 @query(f"SELECT {floor_sql(7 * DAY, parse_timestamp('2024-01-01'))} AS range_start, count(*) AS n FROM events WHERE {floor_sql(7 * DAY, parse_timestamp('2024-01-01'))} + {7 * DAY} <= {NOW} - 7200000000 GROUP BY 1")
@@ -253,7 +259,7 @@ def merged_windows_on_origin(spark, sf_dir):
 
 # -- statistics and rollups (A, R, L12)
 
-FILES = f"""WITH f AS (SELECT event_id, user_id, event_type, value, CASE WHEN {floor_sql(7 * DAY)} + {7 * DAY} <= {NOW} - 7200000000 THEN {floor_sql(7 * DAY)} ELSE {floor_sql(DAY)} END AS range_start FROM events WHERE {floor_sql(DAY)} + {DAY} <= {NOW} - 7200000000)"""
+FILES = f"""WITH f AS (SELECT event_type, value, CASE WHEN {floor_sql(7 * DAY)} + {7 * DAY} <= {NOW} - 7200000000 THEN {floor_sql(7 * DAY)} ELSE {floor_sql(DAY)} END AS range_start FROM events WHERE {floor_sql(DAY)} + {DAY} <= {NOW} - 7200000000)"""
 
 
 @query(f"{FILES} SELECT range_start, event_type, {CELLS} FROM f GROUP BY ALL")
@@ -275,14 +281,12 @@ def stddev_from_statistics(spark, sf_dir):
 
 
 def _cells_sql(grain: int) -> str:
-    return f"SELECT {floor_sql(grain)} AS bucket, event_type, {CELLS}, round(avg(value), 6) AS value_avg FROM events GROUP BY 1, 2"
+    return f"SELECT {floor_sql(grain)} AS bucket, event_type, {CELLS}, round(sum(value), 4) / nullif(count(value), 0) AS value_avg FROM events GROUP BY 1, 2"
 
 
 def _cells(t: TieredTable, grain: str) -> DataFrame:
-    # the series of this table also holds event_id and user_id; cells merge to any coarser key
     view = rollup.rollup_view(t, grain, register=False)
-    out = view.groupBy(F.unix_micros("ts").alias("bucket"), "event_type").agg(*stats.merged(["value"]))
-    return rounded(out.withColumn("value_avg", F.round(stats.average("value"), 6)))
+    return averaged(view.withColumn("bucket", F.unix_micros("ts")).drop("ts"))
 
 
 @query(_cells_sql(HOUR))
@@ -304,7 +308,7 @@ def rollup_late(spark, sf_dir):
 def rollup_from_rollup(spark, sf_dir):
     view = rollup.rollup_view(table(spark, sf_dir), "1h", register=False)
     out = view.groupBy(bucket(F.unix_micros("ts"), "1d").alias("bucket"), "event_type").agg(*stats.merged(["value"]))
-    return rounded(out.withColumn("value_avg", F.round(stats.average("value"), 6)))
+    return averaged(out)
 
 
 @query("SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, round(sum(value), 4) AS total FROM events GROUP BY 1 HAVING count(*) > 10")
@@ -365,7 +369,7 @@ def show_tag_values(spark, sf_dir):
     return influx(spark, sf_dir, 'SHOW TAG VALUES FROM "events" WITH KEY = "event_type"')
 
 
-@query("SELECT * FROM (VALUES ('events', 'event_id', 'integer'), ('events', 'user_id', 'integer'), ('events', 'value', 'float')) t(measurement, fieldKey, fieldType)")
+@query("SELECT 'events' AS measurement, 'value' AS \"fieldKey\", 'float' AS \"fieldType\"")
 def show_field_keys(spark, sf_dir):
     return influx(spark, sf_dir, "SHOW FIELD KEYS")
 
@@ -395,12 +399,12 @@ def join_dimensions(spark, sf_dir):
 DIMENSION = "(VALUES ('click', 60.0), ('view', 90.0), ('purchase', 120.0))"
 
 
-@query(f"SELECT event_id, e.event_type, value, alarm FROM events e JOIN {DIMENSION} d(event_type, alarm) ON e.event_type = d.event_type WHERE value > alarm")
+@query(f"SELECT epoch_us(ts) AS us, e.event_type, value, alarm FROM events e JOIN {DIMENSION} d(event_type, alarm) ON e.event_type = d.event_type WHERE value > alarm")
 def join_theta(spark, sf_dir):
     """A tiered table joined to a plain one, with a condition between them."""
     t = table(spark, sf_dir).df()
     d = spark.createDataFrame([("click", 60.0), ("view", 90.0), ("purchase", 120.0)], "event_type string, alarm double")
-    return t.join(d, "event_type").filter(F.col("value") > F.col("alarm")).select("event_id", "event_type", "value", "alarm")
+    return t.join(d, "event_type").filter(F.col("value") > F.col("alarm")).select(F.unix_micros("ts").alias("us"), "event_type", "value", "alarm")
 
 
 @query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
