@@ -33,7 +33,7 @@ SLACK = 8
 FAN_IN = 8
 OPEN_BINS = 50_000
 #: words and pieces kept with their ids in one Python worker
-CACHE_WORDS, CACHE_PIECES = 500_000, 800_000
+CACHE_WORDS, CACHE_PIECES = 200_000, 400_000
 
 #: fixed values: the tokenizer file's own pattern for pieces of text
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -52,6 +52,18 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in kept else chr(256 + others.index(b)) for b in range(256)]
 
 
+class Filled(dict):
+    """A table that works out what it lacks."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key):
+        value = self[key] = self.make(key)
+        return value
+
+
 class WordTokenizer:
     """The ids of a word-end BPE file, each distinct piece of text tokenised once.
 
@@ -76,8 +88,8 @@ class WordTokenizer:
         self.id_bytes = [i.to_bytes(4, "little") for i in range(self.library.get_vocab_size())]
         self.letters = byte_letters()
         self.whole = (*(t.content for t in self.library.get_added_tokens_decoder().values()), "\x1c", "\x1d", "\x1e", "\x1f")
-        self.known: dict[str, bytes] = {}
-        self.known_pieces: dict[str, bytes] = {}
+        self.known = Filled(self.word_ids)
+        self.known_pieces = Filled(self.piece_ids)
 
     def alone(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -102,26 +114,21 @@ class WordTokenizer:
             piece = "".join([self.letters[b] for b in piece.encode()])
         return b"".join([self.id_bytes[t.id] for t in self.merge(piece)])
 
-    def learn(self, words: list[str]) -> None:
-        parts = [(w.lower(),) if w.isascii() and w.isalpha() else self.cut(w) for w in words]
-        fresh = set().union(*parts).difference(self.known_pieces)
-        self.known_pieces.update((p, self.piece_ids(p)) for p in fresh)
+    def word_ids(self, word: str) -> bytes:
         get = self.known_pieces.__getitem__
-        self.known.update((w, get(p[0]) if len(p) == 1 else b"".join(map(get, p))) for w, p in zip(words, parts))
+        if word.isascii() and word.isalpha():
+            # a word in lower case is its own piece, one string for both tables
+            return get(word if word.islower() else word.lower())
+        return b"".join(map(get, self.cut(word)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        held = [None if any(s in text for s in self.whole) else text.split() for text in texts]
-        every = set().union(*(x for x in held if x))
-        fresh = every.difference(self.known)
-        if len(self.known) + len(fresh) > CACHE_WORDS:
+        if len(self.known) > CACHE_WORDS:
             self.known.clear()
-            fresh = every
         if len(self.known_pieces) > CACHE_PIECES:
             self.known_pieces.clear()
-        self.learn(list(fresh))
         get = self.known.__getitem__
-        return [self.alone(text) if some is None else b"".join(map(get, some)) for text, some in zip(texts, held)]
+        return [self.alone(text) if any(s in text for s in self.whole) else b"".join(map(get, text.split())) for text in texts]
 
 
 def tokenizer(path: str) -> WordTokenizer:
