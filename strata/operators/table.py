@@ -464,10 +464,11 @@ class TieredTable:
         if not children:
             return []
         ends = dict(windows)
-        axis, by = self.axis_micros(), None
-        for s in sorted(children):
-            inside = (axis >= s) & (axis < ends[s])
-            by = F.when(inside, F.lit(s).cast("long")) if by is None else by.when(inside, F.lit(s).cast("long"))
+        axis, widths = self.axis_micros(), {ends[s] - s for s in children}
+        if len(children) == 1:
+            by = F.lit(next(iter(children))).cast("long")
+        else:  # windows of one tier lie on its grid
+            by = bucket(axis, widths.pop(), self.origin)
         staged = self._stage_cold(self._read(self._present([p for ps in children.values() for p in ps])), by)
         return self._publish_cold(self.manifest.edit(), {s: (s, ends[s]) for s in children}, staged, "merge", children)
 
