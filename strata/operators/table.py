@@ -65,6 +65,7 @@ class TieredTable:
 
     def __init__(self, spark: SparkSession, name: str, store: Store, manifest: Manifest):
         self.spark, self.name, self.store, self.manifest = spark, name, store, manifest
+        self._holding: dict[tuple, tuple[set[str], set[str]]] = {}
         _settings(spark)
 
     # -- life ---------------------------------------------------------------
@@ -218,11 +219,7 @@ class TieredTable:
             chosen = fits
             texts = {c: v for c, v in eq.items() if c in self.series and v is not None}
             if texts and self.state["stats"] and chosen:
-                found = self.file_stats()
-                known = {r.path for r in found.select("path").distinct().collect()}
-                for c, v in texts.items():
-                    found = found.filter(F.col(f"`{c}`") == F.lit(v))
-                holds = {r.path for r in found.select("path").distinct().collect()}
+                known, holds = self._files_with(texts)
                 fits = [e for e in chosen if e["path"] not in known or e["path"] in holds]
                 said.series_pruned_files = len(chosen) - len(fits)
                 chosen = fits
@@ -235,6 +232,18 @@ class TieredTable:
             rows = rows.filter(F.col(f"`{c}`").eqNullSafe(F.lit(v)) if v is None else F.col(f"`{c}`") == F.lit(v))
         return rows, said
 
+    def _files_with(self, values: dict) -> tuple[set[str], set[str]]:
+        """Files that have statistics, and those with a series of all these values; one job for each version and values."""
+        key = (self.manifest.version, tuple(sorted(values.items())))
+        if key not in self._holding:
+            fits = F.lit(True)
+            for c, v in values.items():
+                fits = fits & F.coalesce(F.col(f"`{c}`") == F.lit(v), F.lit(False))
+            found = self.file_stats().groupBy("path").agg(F.max(fits).alias("fits")).collect()
+            self._holding = {k: v for k, v in self._holding.items() if k[0] == key[0]}
+            self._holding[key] = {r.path for r in found}, {r.path for r in found if r.fits}
+        return self._holding[key]
+
     def row_groups(self, said: ScanStats, low: int | None, high: int | None) -> ScanStats:
         """Count, from the footers, the row groups of all files and those that [low, high] needs."""
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()

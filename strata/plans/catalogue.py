@@ -321,7 +321,7 @@ def group_having(spark, sf_dir):
 
 
 def influx(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
-    return influx_exec.query(spark, {"events": table(spark, sf_dir)}, text, NOW, 10**9)
+    return influx_exec.query(spark, {"events": table(spark, sf_dir)}, text, NOW)
 
 
 @query(f"SELECT {floor_sql(2 * HOUR)} AS time, event_type, round(avg(value), 6) AS mean FROM events WHERE epoch_us(ts) >= {MID} AND epoch_us(ts) <= {MID + 7 * DAY} GROUP BY 1, 2")

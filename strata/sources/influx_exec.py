@@ -45,7 +45,7 @@ def _condition(c: Q.Condition, table: TieredTable) -> Column | None:
     return {"eq": column == value, "ne": column != value, "lt": column < value, "le": column <= value, "gt": column > value, "ge": column >= value}[c.kind]
 
 
-def select(table: TieredTable, q: Q.Select, max_rows: int = MAX_ROWS) -> tuple[DataFrame, list[str]]:
+def select(table: TieredTable, q: Q.Select, max_rows: int | None = MAX_ROWS) -> tuple[DataFrame, list[str]]:
     """(time in microseconds, tags..., values...) and the names of the tags grouped by."""
     tags, fields = tags_of(table), fields_of(table)
     equal = {c.column: c.value for c in q.conditions if c.kind == "eq" and c.column in tags and isinstance(c.value, str)}
@@ -101,7 +101,9 @@ def select(table: TieredTable, q: Q.Select, max_rows: int = MAX_ROWS) -> tuple[D
         out = out.select(*[F.coalesce(F.col(f"`{c}`"), F.lit(0)).alias(c) if c in names else F.col(f"`{c}`") for c in out.columns])
     out = out.select("time", *[F.coalesce(F.col(f"`{t}`"), F.lit("")).alias(t) for t in by], *[f"`{n}`" for n in names])
     order = F.col("time").desc() if q.descending else F.col("time").asc()
-    return out.orderBy(order, *by).limit(min(q.limit if q.limit is not None else max_rows, max_rows)), by
+    limits = [n for n in (q.limit, max_rows) if n is not None]
+    out = out.orderBy(order, *by)
+    return (out.limit(min(limits)) if limits else out), by
 
 
 def show(spark: SparkSession, tables: dict[str, TieredTable], q: Q.Show) -> DataFrame:
@@ -127,8 +129,8 @@ def show(spark: SparkSession, tables: dict[str, TieredTable], q: Q.Show) -> Data
     return out.orderBy("measurement", "value") if out is not None else spark.createDataFrame([], "measurement string, key string, value string")
 
 
-def query(spark: SparkSession, tables: dict[str, TieredTable], text: str, now: int, max_rows: int = MAX_ROWS) -> DataFrame | None:
-    """One statement as a DataFrame; None for an unknown measurement."""
+def query(spark: SparkSession, tables: dict[str, TieredTable], text: str, now: int, max_rows: int | None = None) -> DataFrame | None:
+    """One statement as a DataFrame, capped if asked; None for an unknown measurement."""
     q = Q.parse(text, now)
     if isinstance(q, Q.Show):
         return show(spark, tables, q)
