@@ -15,6 +15,7 @@ an empty result; other columns of the input are not read.
 from __future__ import annotations
 
 import json
+import math
 import os
 import unicodedata
 import zlib
@@ -23,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import held, shuffle_partitions
+from strata.llm.common import held
 
 SEQUENCE = 4096
 END_ID = 1
@@ -32,6 +33,8 @@ SLACK = 8
 #: rests of so many tasks meet in the next round
 FAN_IN = 8
 OPEN_BINS = 50_000
+#: items that a task of the first round packs, at any size of the input
+LEAF_ITEMS = 20_000
 #: words and pieces kept with their ids in one Python worker
 CACHE_WORDS, CACHE_PIECES = 200_000, 400_000
 
@@ -227,9 +230,9 @@ def _pack(capacity: int, slack: int, last: bool, level: int):
 def pack(items: DataFrame, capacity: int = SEQUENCE, slack: int = SLACK, leaves: int | None = None) -> DataFrame:
     """Bins of (key, length) items: (sequence_id, members, length), members in their order in the sequence.
 
-    ``leaves`` nodes pack first; items are dealt to them evenly.
+    ``leaves`` nodes pack first, as many as the items fill; they are dealt evenly.
     """
-    leaves = leaves or max(1, shuffle_partitions(items))
+    leaves = leaves or max(1, math.ceil(items.count() / LEAF_ITEMS))
     # a leaf's items have sizes of all kinds, as the deal does not look at them
     current = items.select(F.pmod(F.xxhash64("key"), F.lit(leaves)).cast("int").alias("node"), "length", F.array(F.struct(F.col("key").alias("key"), F.col("length").alias("length"))).alias("members"))
     level, done = 0, []
