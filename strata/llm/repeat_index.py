@@ -43,7 +43,7 @@ MATCH = 200
 GRAM = 64
 #: contexts of one anchor that are indexed together
 HOT = 4096
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 _SIDE = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
