@@ -227,12 +227,13 @@ def _verify(threshold: float, n: int):
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS, n: int = WORDS, part: int = PART) -> DataFrame:
-    """(rid, doc_id, class_id, n_links, copy_id, n_shingles) of every row.
+    """(rid, doc_id, class_id, n_links, copy_id, n_shingles, component) of every row.
 
     ``class_id`` is the least doc_id among the rows connected by links, ``copy_id``
-    among the rows with the same shingle set; ``n_links`` is the number of other rows
-    at or above the threshold.  ``docs`` must give the same rows in the same order each
-    time, as a file scan does.
+    among the rows with the same shingle set; ``component`` is the least rid of the
+    connected rows, so it is the class whatever its ids are; ``n_links`` is the number
+    of other rows at or above the threshold.  ``docs`` must give the same rows in the
+    same order each time, as a file scan does.
     """
     bands = bands_for(threshold, recall, rows)
     kind = docs.select(F.col(doc_id)).schema[0].dataType.simpleString()
@@ -263,17 +264,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     joined = components(verified.select(F.col("rid").alias("u"), F.col("root").alias("v")))
     groups = classes.join(links.withColumnRenamed("rid", "rep"), "rep", "left").join(joined.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     least = groups.groupBy("component").agg(F.min("copy_id").alias("class_id"))
-    groups = groups.join(least, "component").select("k1", "k2", "n", "class_id", "copy_id", (F.col("members") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    groups = groups.join(least, "component").select("k1", "k2", "n", "component", "class_id", "copy_id", (F.col("members") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     found = signed.select("rid", "doc_id", "k1", "k2", "n").join(groups, ["k1", "k2", "n"], "left")
-    return found.select("rid", "doc_id", F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.when(F.col("n") > 0, F.col("copy_id")).otherwise(F.col("doc_id")).alias("copy_id"), F.col("n").alias("n_shingles"))
+    return found.select("rid", "doc_id", F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.when(F.col("n") > 0, F.col("copy_id")).otherwise(F.col("doc_id")).alias("copy_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "rid").alias("component"))
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` without all but one row of each class, all columns."""
-    found = near_duplicates(docs, doc_id, text, **options).filter("n_shingles > 0").checkpoint()
-    stays = found.groupBy("class_id").agg(F.min("rid").alias("rid"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    gone = found.join(stays.select(F.col("class_id"), F.col("rid").alias("stays")), found["class_id"].eqNullSafe(stays["class_id"])).filter("rid <> stays").select("rid")
-    return without(docs, gone)
+    """The rows of ``docs`` without all but the first row of each class, all columns."""
+    found = near_duplicates(docs, doc_id, text, **options)
+    return without(docs, found.filter("rid <> component").select("rid"))
 
 
 def op2_ngram_join(spark, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Near duplicates against all pairs."""
 
 import random
+from collections import Counter
 from itertools import combinations
 
 import pytest
@@ -65,6 +66,20 @@ def test_null_and_repeated_ids(spark):
     assert got == sorted([(None, 4, 2), (4, 4, 2), (4, 4, 2), (None, None, 0)], key=str)
 
 
+def test_different_texts_under_null_and_repeated_ids_stay(spark):
+    some = texts()
+    ids = [None if k % 3 == 0 else 7 if k % 3 == 1 else k for k in range(len(some))]
+    docs = documents(spark, some, ids)
+    want = brute(some)
+    empty = sum(not shingles(t) for t in some)
+    classes = {want[k][0] for k, t in enumerate(some) if shingles(t)}
+    kept = [r.text for r in N.keep_one(docs).collect()]
+    first = {t: want[k][0] for k, t in enumerate(some) if shingles(t)}
+    assert len(kept) == len(classes) + empty and {first[t] for t in kept if t in first} == classes
+    rows = N.near_duplicates(docs).select("component").collect()
+    assert sorted(Counter(r.component for r in rows).values()) == sorted(Counter(label for label, _ in want.values()).values())
+
+
 def test_empty_table(spark):
     assert N.near_duplicates(documents(spark, [])).count() == 0
     assert N.keep_one(documents(spark, [])).count() == 0
