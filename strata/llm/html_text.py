@@ -7,16 +7,19 @@ neighbouring lines, is clustered by a threshold into content and rest, and the
 content lines' regions are selected.  Structure decides what the ratio cannot:
 lines inside navigation, headers, footers, asides, forms, scripts, adverts and
 comment sections never count, and where a page marks its article (``<article>`` or
-``<main>``), short lines inside it belong to the text as well.
+``<main>``), short lines inside it belong to the text as well.  A form, or an element
+that only its class, id or role marks, is no rest if the page's article stands in it.
 
 Defined results: a null or empty page gives an empty text; a page without content
-lines too; repeated rows are treated one by one; broken markup is read as the
+lines too; repeated rows are treated one by one; a left out end of ``<head>``, ``<p>``,
+list items and table cells is where HTML has it, other broken markup is read as the
 parser reads it, an unclosed script or comment swallowing the rest.
 """
 
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from html.parser import HTMLParser
 
 import numpy as np
@@ -36,6 +39,15 @@ MARKS = re.compile(
 )
 #: fixed values: class words of the article itself, which MARKS doesn't override
 ARTICLE = re.compile(r"(?:^|[^a-z])(?:article|post|entry|story|main)-?(?:body|content|text|header|head|title)?(?:$|[^a-z])")
+#: fixed values: class words that tell of a layout and mark nothing
+LAYOUT = re.compile(r"(?:^|(?<=[^a-z]))(?:has|no|with|without)[-_][\w-]+")
+#: fixed values: elements of a head, any other ends it
+HEAD = frozenset("base basefont bgsound link meta title noscript noframes style script template head html".split())
+#: fixed values: elements whose start ends an open one of these, unless one of those stands between
+ENDS = {t: (("p",), frozenset("button caption html table td th object template".split())) for t in BLOCK - frozenset("body caption html legend option tbody td tfoot th thead tr".split())}
+LISTS = frozenset("ul ol menu dl table td th template article main".split())
+ROWS = frozenset("table template".split())
+ENDS_TOO = {"li": (("li",), LISTS), "dd": (("dd", "dt"), LISTS), "dt": (("dd", "dt"), LISTS), "td": (("td", "th"), ROWS), "th": (("td", "th"), ROWS), "tr": (("tr",), ROWS)}
 SPACES = re.compile(r"\s+")
 
 #: standard deviation of the smoothing, in lines
@@ -48,17 +60,23 @@ class Lines(HTMLParser):
     """Parser events gathered into lines of (text, tags, region, heading, linked).
 
     ``region`` numbers the marked article a line stands in, 0 for none; ``linked`` tells
-    that all of a line's text is links.
+    that all of a line's text is links.  Elements named in ``kept`` don't skip.
     """
 
-    def __init__(self):
+    def __init__(self, kept: frozenset[str] = frozenset()):
         super().__init__(convert_charrefs=True)
+        self.kept = kept
         self.lines: list[tuple[str, int, int, bool, bool]] = []
-        self.stack: list[tuple[str, bool, int]] = []  # tag, skips, region outside
+        self.stack: list[tuple[str, bool, int, str, int]] = []  # tag, skips, region outside, name if it may be kept, lost article outside
         self.skip = self.region = self.regions = self.tags = self.links = 0
         self.heading = False
         self.linked = True
         self.text: list[str] = []
+        self.open: dict[str, int] = defaultdict(int)  # tags on the stack
+        self.names: list[str] = []  # open elements that skip and may be kept
+        self.lost: list[list] = [[(), 0]]  # articles inside them: their names, letters
+        self.at = self.free = self.articles = 0  # lost article, letters that aren't skipped, open articles
+        self.found = False  # an article that isn't skipped has text
 
     def end_line(self):
         if self.text:
@@ -70,6 +88,8 @@ class Lines(HTMLParser):
         self.heading, self.linked = False, True
 
     def handle_starttag(self, tag, attrs):
+        if tag not in HEAD and self.stack and (self.stack[-1][0] == "head" or tag in ("body", "article", "main")):
+            self.end("head", ROWS)
         if tag in BLOCK:
             self.end_line()
             self.heading = tag in HEADINGS
@@ -78,20 +98,35 @@ class Lines(HTMLParser):
         self.tags += not self.skip
         if tag in VOID:
             return
-        if tag == "p" and any(t == "p" for t, _, _ in self.stack[-4:]):
-            self.shut("p")
-        elif tag == "li" and self.stack and self.stack[-1][0] == "li":
-            self.shut("li")
-        skips = tag in SKIP and not (tag == "header" and self.region)
-        if attrs and not skips and tag not in ("html", "body"):
+        for ends in (ENDS, ENDS_TOO):
+            if tag in ends:
+                for t in ends[tag][0]:
+                    self.end(t, ends[tag][1])
+        skips, name = tag in SKIP and not (tag == "header" and self.region), ""
+        if tag == "form":
+            name = f"form {attrs}"
+        if attrs and (name or not skips) and tag not in ("html", "body"):
             said = " ".join(v.lower() for k, v in attrs if v and k in ("class", "id", "role"))
-            skips = bool(said and MARKS.search(said) and not ARTICLE.search(said)) or any(k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and bool(v) and "display:none" in v.replace(" ", "") for k, v in attrs)
+            if said and not name and MARKS.search(said) and MARKS.search(LAYOUT.sub("", said)) and not ARTICLE.search(said):
+                skips, name = True, f"{tag} {said}"
+            if any(k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and bool(v) and "display:none" in v.replace(" ", "") for k, v in attrs):
+                skips, name = True, ""
+        if name in self.kept:
+            skips, name = False, ""
         self.links += tag == "a"
-        self.stack.append((tag, skips, self.region))
+        self.articles += tag == "article"
+        self.open[tag] += 1
+        self.stack.append((tag, skips, self.region, name, self.at))
         self.skip += skips
-        if tag in ("article", "main") and not skips and not self.region:
-            self.regions += 1
-            self.region = self.regions
+        if name:
+            self.names.append(name)
+        if tag in ("article", "main"):
+            if not self.skip and not self.region:
+                self.regions += 1
+                self.region = self.regions
+            elif self.skip and self.skip == len(self.names) > len(self.lost[self.at][0]):
+                self.at = len(self.lost)
+                self.lost.append([tuple(self.names), 0])
 
     def handle_startendtag(self, tag, attrs):
         if tag in BLOCK:
@@ -101,14 +136,32 @@ class Lines(HTMLParser):
 
     def shut(self, tag):
         """Close the nearest open ``tag`` and what is open inside it."""
+        if not self.open.get(tag):
+            return
         for k in range(len(self.stack) - 1, -1, -1):
             if self.stack[k][0] == tag:
-                self.skip -= sum(skips for _, skips, _ in self.stack[k:])
-                self.links -= sum(t == "a" for t, _, _ in self.stack[k:])
-                self.region = self.stack[k][2]
+                self.skip -= sum(skips for _, skips, *_ in self.stack[k:])
+                self.links -= sum(t == "a" for t, *_ in self.stack[k:])
+                self.articles -= sum(t == "article" for t, *_ in self.stack[k:])
+                for t, *_ in self.stack[k:]:
+                    self.open[t] -= 1
+                names = sum(bool(name) for *_, name, _ in self.stack[k:])
+                del self.names[len(self.names) - names :]
+                self.region, self.at = self.stack[k][2], self.stack[k][4]
                 del self.stack[k:]
                 return
 
+    def end(self, tag, between):
+        """Close the nearest open ``tag`` unless an element of ``between`` is open inside it."""
+        if not self.open.get(tag):
+            return
+        for t, *_ in reversed(self.stack):
+            if t == tag:
+                self.shut(tag)
+                return
+            if t in between:
+                return
+
     def handle_endtag(self, tag):
         if tag in BLOCK:
             self.end_line()
@@ -116,10 +169,29 @@ class Lines(HTMLParser):
         self.shut(tag)
 
     def handle_data(self, data):
+        if self.stack and self.stack[-1][0] == "head" and not data.isspace():
+            self.shut("head")
         if not self.skip:
             self.text.append(data)
-            if not self.links and self.linked and not data.isspace():
-                self.linked = False
+            if not data.isspace():
+                self.free += len(data)
+                self.found |= self.articles > 0
+                if not self.links:
+                    self.linked = False
+        elif self.at and self.skip == len(self.names) == len(self.lost[self.at][0]) and not data.isspace():
+            self.lost[self.at][1] += len(data)
+
+    def wrappers(self) -> frozenset[str]:
+        """Names of the skipped elements around the page's article, none if it isn't skipped.
+
+        No other article may have text, and the article has more than the rest of the
+        page.  Of articles that are at least half as long as the longest one, that inside
+        the fewest skipped elements is taken: comments and teasers may be articles too.
+        """
+        most = max(n for _, n in self.lost)
+        if self.found or most <= self.free:
+            return frozenset()
+        return frozenset(min((len(names), -n, names) for names, n in self.lost if 2 * n >= most)[2])
 
 
 def smooth(values: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -167,10 +239,16 @@ def extract(html: str | None) -> str:
     """The main text of one page, blocks joined by line feeds."""
     if not html:
         return ""
-    parser = Lines()
-    parser.feed(html)
-    parser.close()
-    parser.end_line()
+    kept = frozenset()
+    while True:
+        parser = Lines(kept)
+        parser.feed(html)
+        parser.close()
+        parser.end_line()
+        more = parser.wrappers()
+        if not more:
+            break
+        kept |= more
     return "\n".join(content_lines(parser.lines))
 
 

@@ -29,6 +29,29 @@ def test_odd_pages():
     assert extract(f"<article><p>one<!-- no --> two</p><p hidden>no</p><p style='display: none'>no</p><p>{LONG}</p>") == f"one two\n{LONG}"
 
 
+def test_article_inside_marked_wrappers():
+    for name in ("layout has-sidebar", "no-sidebar", "page with-header", "content-sidebar-wrap", "comments-enabled", "sidebar"):
+        for page in (f'<div class="{name}"><article><p>{LONG}</article></div>', f'<main id="{name}"><p>{LONG}</main>', f'<form id="f"><div class="{name}"><main><div class="widget"><article>{LONG}</article></div></main></div></form>'):
+            assert extract(f"<body>{page}<footer>Foot</footer></body>") == LONG, (name, page)
+    comments = f'<section id="comments"><article class="comment"><p>{LONG}</p></article></section>'
+    wrapped = f'<div class="content-sidebar-wrap"><article><p>{LONG}</p></article><div class="related"><article>Teaser</article></div>{comments}</div>'
+    assert extract(f"<body>{wrapped}</body>") == LONG
+    assert extract(f'<body><div class="content"><p>{LONG}<p>{LONG}</div>{comments}</body>') == f"{LONG}\n{LONG}"
+    assert extract(f"<body><article>Short.</article>{comments}</body>") == "Short."
+    assert extract(f'<body><div hidden><article>{LONG}</article></div><p>Shown</body>') == "Shown"
+
+
+def test_left_out_end_tags():
+    assert extract(f"<html><head><title>No</title><meta charset=utf-8><body><article><p>{LONG}</article>") == LONG
+    assert extract(f"<html><head><title>No</title><style>p{{}}</style><p>{LONG}") == LONG
+    assert extract(f"<head><title>No</title>{LONG}") == LONG
+    assert extract(f"<head><template><article>No</article></template></head><p>{LONG}") == LONG
+    for tag in ("div", "article", "h2", "section", "ul", "table", "blockquote"):
+        assert extract(f'<body><p class="ad">Buy <b>now<{tag}>{LONG}</{tag}>') == LONG, tag
+    assert extract(f'<article><ul><li class="ad"><b>Buy<li>{LONG}</ul><dl><dt class="ad">Buy<dd>Yes</dl>') == f"{LONG}\nYes"
+    assert extract(f'<article><table><tr class="ad"><td>Buy<tr><td class="ad">Buy<td>{LONG}</table>') == LONG
+
+
 def test_smoothing_keeps_a_level_and_selection_its_ends():
     assert list(smooth([1.0, 1.0, 1.0])) == [1.0] * 3
     assert content_lines([]) == []
