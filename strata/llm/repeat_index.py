@@ -11,9 +11,9 @@ One index over a whole corpus cannot be dealt out, so the texts are aligned firs
    context seen twice repeats whole.
 3. For the rest, contexts of one anchor are aligned strings, and their suffixes are
    kept in the order of a positional Burrows-Wheeler transform that is extended to the
-   left byte by byte.  Each column is run-compressed: within a run of equal bytes
+   left byte by byte.  Columns are stored at full length; within a run of equal bytes
    neighbours stay neighbours and their common length grows by one, so lengths are
-   taken anew (a range minimum) only at run heads, the sampled run ends.  While the
+   taken anew (a range minimum) only at run heads.  While the
    columns stream by, a context's matching statistic is the greater common length
    with its neighbours; where it reaches ``match``, a long match is marked.
 
