@@ -66,22 +66,27 @@ def work_dir(spark: SparkSession) -> str:
 _built: dict[tuple, TieredTable] = {}
 SCHEMA = "ts TIMESTAMP, event_type TEXT, value REAL"
 COLUMNS = ["ts", "event_type", "value"]
+#: every column of the events, without rollups: each row is a series of its own there
+WIDE_SCHEMA = "ts TIMESTAMP, event_id INTEGER, user_id INTEGER, event_type TEXT, value REAL, props TEXT"
+WIDE_COLUMNS = ["ts", "event_id", "user_id", "event_type", "value", "props"]
 
 
-def table(spark: SparkSession, sf_dir: str, kind: str = "plain") -> TieredTable:
+def table(spark: SparkSession, sf_dir: str, kind: str = "plain", wide: bool = False) -> TieredTable:
     """The events as a tiered table at one of several points of its life."""
-    key = (spark.sparkContext.applicationId, sf_dir, kind)
+    key = (spark.sparkContext.applicationId, sf_dir, kind, wide)
     if key in _built:
         return _built[key]
     source = read(spark, sf_dir, "events")
-    rows = source.select(*COLUMNS)
+    columns = WIDE_COLUMNS if wide else COLUMNS
+    rows = source.select(*columns)
     tiers = "1d,7d,origin=2024-01-01" if kind == "monday" else "1d,7d"
-    made = TieredTable.create(spark, "events", SCHEMA, work_dir(spark), tiers)
+    made = TieredTable.create(spark, "events", WIDE_SCHEMA if wide else SCHEMA, work_dir(spark), tiers)
     if kind == "late":
-        made.insert(source.filter("event_id % 10 <> 0").select(*COLUMNS))
-        rollup.create_rollup(made, "1h")
+        made.insert(source.filter("event_id % 10 <> 0").select(*columns))
+        if not wide:
+            rollup.create_rollup(made, "1h")
         made.maintain(NOW)
-        made.insert(source.filter("event_id % 10 = 0").select(*COLUMNS))
+        made.insert(source.filter("event_id % 10 = 0").select(*columns))
         made.maintain(NOW)
     elif kind == "altered":
         early = F.col("ts") < F.lit("2024-01-10").cast("timestamp_ntz")
@@ -94,7 +99,7 @@ def table(spark: SparkSession, sf_dir: str, kind: str = "plain") -> TieredTable:
         made.insert(rows)
         if kind == "retained":
             made.set_retention("14d")
-        else:
+        elif not wide:
             rollup.create_rollup(made, "1h")
             rollup.create_rollup(made, "4h")
         made.maintain(NOW)
@@ -226,6 +231,45 @@ def hot_only(spark, sf_dir):
     return _raw(table(spark, sf_dir).hot())
 
 
+# the same with every column of the events, rows told apart by their ids
+
+WIDE = "SELECT event_id, epoch_us(ts) AS us, user_id, event_type, value, props FROM events"
+
+
+def _wide(rows: DataFrame) -> DataFrame:
+    return rows.select("event_id", F.unix_micros("ts").alias("us"), "user_id", "event_type", "value", "props")
+
+
+@query(WIDE)
+def wide_view_equals_raw(spark, sf_dir):
+    return _wide(table(spark, sf_dir, wide=True).df())
+
+
+@query(WIDE)
+def wide_after_late_rows(spark, sf_dir):
+    return _wide(table(spark, sf_dir, "late", wide=True).df())
+
+
+@query(f"{WIDE} WHERE epoch_us(ts) < {parse_timestamp('2024-01-25')}")
+def wide_cold_only(spark, sf_dir):
+    return _wide(table(spark, sf_dir, wide=True).cold())
+
+
+@query(f"{WIDE} WHERE epoch_us(ts) >= {parse_timestamp('2024-01-25')}")
+def wide_hot_only(spark, sf_dir):
+    return _wide(table(spark, sf_dir, wide=True).hot())
+
+
+@query(f"{WIDE} WHERE {floor_sql(DAY)} + {DAY} > {NOW - 14 * DAY}")
+def wide_retention_view(spark, sf_dir):
+    return _wide(table(spark, sf_dir, "retained", wide=True).df())
+
+
+@query("SELECT event_id, CASE WHEN ts >= TIMESTAMP '2024-01-10' THEN value * 2 END AS doubled FROM events")
+def wide_alter_null_history(spark, sf_dir):
+    return table(spark, sf_dir, "altered", wide=True).df().select("event_id", "doubled")
+
+
 # the tier grid starts at the epoch, a Thursday; on a retained table weeks go when their end is 14 days old
 @query(f"""WITH f AS (SELECT epoch_us(ts) AS us, event_type, value, {floor_sql(DAY)} + {DAY} AS day_end FROM events)
 SELECT us, event_type, value FROM f WHERE day_end > {NOW - 14 * DAY}""")
@@ -374,6 +418,11 @@ def show_field_keys(spark, sf_dir):
     return influx(spark, sf_dir, "SHOW FIELD KEYS")
 
 
+@query("SELECT * FROM (VALUES ('events', 'event_id', 'integer'), ('events', 'user_id', 'integer'), ('events', 'value', 'float')) t(measurement, \"fieldKey\", \"fieldType\")")
+def wide_show_field_keys(spark, sf_dir):
+    return influx_exec.query(spark, {"events": table(spark, sf_dir, wide=True)}, "SHOW FIELD KEYS", NOW)
+
+
 @query("SELECT event_type, epoch_us(ts) AS ts_us, value FROM events")
 def lineproto_round_trip(spark, sf_dir):
     """Every event as a line of text files, read back by the line-protocol source."""
@@ -407,6 +456,13 @@ def join_theta(spark, sf_dir):
     return t.join(d, "event_type").filter(F.col("value") > F.col("alarm")).select(F.unix_micros("ts").alias("us"), "event_type", "value", "alarm")
 
 
+@query(f"SELECT event_id, e.event_type, value, alarm FROM events e JOIN {DIMENSION} d(event_type, alarm) ON e.event_type = d.event_type WHERE value > alarm")
+def wide_join_theta(spark, sf_dir):
+    t = table(spark, sf_dir, wide=True).df()
+    d = spark.createDataFrame([("click", 60.0), ("view", 90.0), ("purchase", 120.0)], "event_type string, alarm double")
+    return t.join(d, "event_type").filter(F.col("value") > F.col("alarm")).select("event_id", "event_type", "value", "alarm")
+
+
 @query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
 def anti_join(spark, sf_dir):
     customer, orders = read(spark, sf_dir, "customer"), read(spark, sf_dir, "orders")
