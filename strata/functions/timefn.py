@@ -38,12 +38,8 @@ def format_duration(us: int) -> str:
     raise ValueError(f"{us} microseconds is not a whole number of seconds")
 
 
-def _days(year: int, month: int, day: int) -> int:
-    """Days from 1970-01-01 in the proleptic Gregorian calendar, any year."""
-    year -= month <= 2
-    era, of_era = divmod(year, 400)
-    of_year = (153 * ((month + 9) % 12) + 2) // 5 + day - 1
-    return era * 146097 + of_era * 365 + of_era // 4 - of_era // 100 + of_year - 719468
+#: the Gregorian calendar repeats after so many years, of so many days
+CYCLE, CYCLE_DAYS = 400, 146_097
 
 
 def parse_timestamp(text: str) -> int | None:
@@ -51,28 +47,24 @@ def parse_timestamp(text: str) -> int | None:
     found = re.fullmatch(r"(-?\d{1,6})-(\d{2})-(\d{2})(?:[T ](\d{2}):(\d{2})(?::(\d{2})(?:\.(\d+))?)?)?Z?", text.strip())
     if not found:
         return None
-    year, month, day, hour, minute, second = (int(x or 0) for x in found.groups()[:6])
-    leap = year % 4 == 0 and (year % 100 != 0 or year % 400 == 0)
-    if not (1 <= month <= 12 and 1 <= day <= (31, 29 if leap else 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31)[month - 1]) or hour > 23 or minute > 59 or second > 59 or abs(year) > 300_000:
+    year, *rest = (int(x or 0) for x in found.groups()[:6])
+    cycles, of_cycle = divmod(year, CYCLE)
+    try:  # the same date in years that datetime has
+        stamp = dt.datetime(2000 + of_cycle, *rest)
+    except ValueError:
         return None
-    us = ((_days(year, month, day) * 24 + hour) * 60 + minute) * 60 * SECOND + second * SECOND + int((found[7] or "")[:6].ljust(6, "0"))
+    days = stamp.toordinal() - EPOCH.toordinal() + (cycles - 2000 // CYCLE) * CYCLE_DAYS
+    us = (days * 86400 + stamp.hour * 3600 + stamp.minute * 60 + stamp.second) * SECOND + int((found[7] or "")[:6].ljust(6, "0"))
     return us if -LIMIT - 1 <= us <= LIMIT else None
 
 
 def format_timestamp(us: int) -> str:
     """``YYYY-MM-DDTHH:MM:SSZ``, with six digits of fraction where there is one."""
-    days, rest = divmod(us, 86400 * SECOND)
-    shifted = days + 719468
-    era, of_era = divmod(shifted, 146097)
-    year = (of_era - of_era // 1460 + of_era // 36524 - of_era // 146096) // 365
-    of_year = of_era - (365 * year + year // 4 - year // 100)
-    month = (5 * of_year + 2) // 153
-    day = of_year - (153 * month + 2) // 5 + 1
-    month = month + 3 if month < 10 else month - 9
-    year += era * 400 + (month <= 2)
-    seconds, fraction = divmod(rest, SECOND)
-    said = f"{'-' if year < 0 else ''}{abs(year):04d}-{month:02d}-{day:02d}T{seconds // 3600:02d}:{seconds // 60 % 60:02d}:{seconds % 60:02d}"
-    return said + (f".{fraction:06d}Z" if fraction else "Z")
+    cycles, rest = divmod(us, CYCLE_DAYS * 86400 * SECOND)
+    stamp = EPOCH + dt.timedelta(microseconds=rest)
+    year = stamp.year + cycles * CYCLE
+    fraction = f".{stamp.microsecond:06d}" if stamp.microsecond else ""
+    return f"{'-' if year < 0 else ''}{abs(year):04d}{stamp:-%m-%dT%H:%M:%S}{fraction}Z"
 
 
 def floor_bucket(us: int, width: int, origin: int = 0) -> int:
@@ -102,7 +94,7 @@ def bucket(us: Column, width: int | str, origin: int | str = 0) -> Column:
 
 
 def register(spark: SparkSession) -> None:
-    """SQL functions strata_ts, strata_datetime, strata_duration and strata_bucket for this session."""
+    """SQL functions strata_ts, strata_datetime, strata_duration, strata_bucket and strata_bucket_us for this session."""
     form = FORM.replace("\\", "\\\\")
     spark.sql(f"""CREATE OR REPLACE TEMPORARY FUNCTION strata_ts(x STRING) RETURNS BIGINT RETURN
         CASE WHEN x RLIKE '^-?[0-9]+$' THEN CAST(x AS BIGINT)
@@ -118,3 +110,6 @@ def register(spark: SparkSession) -> None:
              ELSE raise_error(concat('bad duration: ', coalesce(x, 'NULL'))) END""")
     spark.sql("""CREATE OR REPLACE TEMPORARY FUNCTION strata_bucket(width STRING, us STRING, origin STRING DEFAULT '0') RETURNS BIGINT RETURN
         strata_ts(us) - pmod(strata_ts(us) - strata_ts(origin), strata_duration(width))""")
+    # the form for columns: numbers stay numbers, and a literal width and origin are folded once
+    spark.sql("""CREATE OR REPLACE TEMPORARY FUNCTION strata_bucket_us(width STRING, us BIGINT, origin BIGINT DEFAULT 0) RETURNS BIGINT RETURN
+        us - pmod(us - origin, strata_duration(width))""")

@@ -26,9 +26,10 @@ def cells(measures: list[str]) -> list[Column]:
 
 
 def merged(measures: list[str]) -> list[Column]:
-    """Aggregates of cells."""
-    how = {"count": F.sum, "sum": F.sum, "sumsq": F.sum, "min": F.min, "max": F.max}
-    return [how[part](f"`{m}_{part}`").alias(f"{m}_{part}") for m in measures for part in PARTS]
+    """Aggregates of cells; a cell from before its measure was added counts as one without values."""
+    zero = {"count": F.lit(0).cast("long"), "sum": F.lit(0.0), "sumsq": F.lit(0.0)}
+    how = {"min": F.min, "max": F.max}
+    return [(F.coalesce(F.sum(f"`{m}_{part}`"), zero[part]) if part in zero else how[part](f"`{m}_{part}`")).alias(f"{m}_{part}") for m in measures for part in PARTS]
 
 
 def average(measure: str) -> Column:

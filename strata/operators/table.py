@@ -4,10 +4,15 @@ Hot rows lie in segments partitioned by tier-0 bucket, so that compacting a buck
 takes names off a list.  A cold file is a folder of Parquet parts sorted by time, as
 many as its size needs; all closed buckets of a ``maintain`` call are written by one
 job, ranged by (bucket, time), so a large bucket is spread over tasks.
+
+A DataFrame taken from a table reads the files of its version.  What a newer version no
+longer names stays on disk for ``grace`` (an hour unless told otherwise), then the next
+``maintain`` collects it.
 """
 
 from __future__ import annotations
 
+import re
 import time
 import uuid
 from dataclasses import dataclass, field
@@ -18,12 +23,16 @@ from pyspark.sql import types as T
 
 from strata.errors import BadSchema, CompactError, ImmutableHistory, MissingFile, NoPolicy, SchemaDrift
 from strata.functions import schema as S
-from strata.functions.timefn import bucket, floor_bucket, format_duration, parse_duration, to_micros, to_timestamp
+from strata.functions.timefn import SECOND, bucket, floor_bucket, format_duration, parse_duration, to_micros, to_timestamp
 from strata.operators import catalog, policy, stats
 from strata.operators.store import Manifest, Store
 
 ROW_GROUP_ROWS = 16384
 BUCKET = "_bucket"
+#: how long files that are no longer named stay for readers of older versions
+GRACE = 3600 * SECOND
+#: folders of statistics, and of each rollup's deltas, before ``maintain`` merges them into one
+FOLDERS = 16
 
 
 @dataclass
@@ -55,6 +64,12 @@ def _now() -> int:
     return time.time_ns() // 1000
 
 
+def _batch(batch: str) -> tuple[str, int | None]:
+    """The stream and the number of a batch id; an id without a number is a stream of its own."""
+    stream, _, number = batch.rpartition(":")
+    return (stream, int(number)) if stream and number.isdigit() else (batch, None)
+
+
 def empty(spark: SparkSession, schema: T.StructType) -> DataFrame:
     """No rows, in a form that the optimizer takes out of unions."""
     return spark.range(0).filter(F.lit(False)).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields])
@@ -88,7 +103,7 @@ class TieredTable:
                 state["policy"]["tiers"] = made["tiers"]
                 found = found.publish(state)
             return cls(spark, name, store, found)
-        state = {"columns": [[c.name, c.declared] for c in columns], "policy": made, "files": [], "hot": [], "rollups": {}, "stats": [], "batches": []}
+        state = {"columns": [[c.name, c.declared] for c in columns], "policy": made, "files": [], "hot": [], "rollups": {}, "stats": [], "batches": {}, "retired": []}
         return cls(spark, name, store, Manifest.first(store, state))
 
     @classmethod
@@ -173,9 +188,17 @@ class TieredTable:
             return empty(self.spark, self.schema)
         return self.spark.read.schema(self.schema).parquet(*paths)
 
+    def _landed(self, segment: dict) -> bool:
+        """Whether the batch over several tables that a segment belongs to was committed."""
+        return "txn" not in segment or self.store.exists(segment["txn"])
+
+    def segments(self) -> list[dict]:
+        """The hot segments that count; those of a batch that did not land do not."""
+        return [s for s in self.state["hot"] if self._landed(s)]
+
     def _hot_paths(self, low: int | None = None, high: int | None = None) -> list[str]:
         found = []
-        for segment in self.state["hot"]:
+        for segment in self.segments():
             for b in segment["buckets"]:
                 if (high is None or int(b) <= high) and (low is None or int(b) + self.tier0 > low):
                     found.append(self.store.at("hot", segment["id"], f"{BUCKET}={b}"))
@@ -188,11 +211,31 @@ class TieredTable:
         return self._read(self._present([e["path"] for e in catalog.active(self.state)]))
 
     def _present(self, paths: list[str]) -> list[str]:
+        """The paths, if the table's folder, listed once, has them all."""
+        names = set(self.store.children(self.store.folder)) if paths else set()
         for p in paths:
-            if not self.store.exists(p):
+            if p.rsplit("/", 1)[-1] not in names:
                 raise MissingFile(f"{p} is in the catalog of {self.name} but gone: possible data loss")
         return paths
 
+    def verify_files(self) -> int:
+        """Read the footers of all active files, as one job a column count; a file of other columns is an error."""
+        by: dict[int, list[str]] = {}
+        for e in catalog.active(self.state):
+            by.setdefault(e["columns"], []).append(e["path"])
+        for width, paths in by.items():
+            try:
+                found = self.spark.read.option("mergeSchema", "true").parquet(*self._present(paths)).schema
+            except Exception as e:
+                if "CANNOT_MERGE" in str(e):
+                    raise SchemaDrift(f"files of {self.name} have different types") from e
+                raise
+            want = {c.name: c for c in self.columns[:width]}
+            odd = [f.name for f in found.fields if f.name not in want or f.dataType != want[f.name].spark_type] + sorted(set(want) - set(found.fieldNames()))
+            if odd:
+                raise SchemaDrift(f"files of {self.name} do not have its columns: {', '.join(odd)}")
+        return sum(map(len, by.values()))
+
     def df(self) -> DataFrame:
         """All rows, hot and cold, of the version this object holds."""
         return self.hot().unionByName(self.cold())
@@ -302,20 +345,36 @@ class TieredTable:
             out.append(column.alias(c.name))
         return rows.select(*out)
 
+    def _seen(self, batch: str) -> bool:
+        stream, number = _batch(batch)
+        last = self.state["batches"].get(stream)
+        return last is not None and (number is None or number <= last)
+
     def insert(self, rows: DataFrame, batch: str | None = None) -> int:
-        """Append rows in one publish; a batch id that was seen is not written again."""
-        if batch is not None and batch in self.state["batches"]:
+        """Append rows in one publish; a batch id that was seen is not written again.
+
+        Ids ``<stream>:<number>`` ascend within a stream, and only the last one is kept.
+        """
+        if batch is not None and self._seen(batch):
             return 0
-        segment = self._stage_hot(self._fitted(rows))
+        segment = self.stage(rows)
         if segment is None and batch is None:
             return 0
+        self.land(segment, batch)
+        return sum(segment["buckets"].values()) if segment else 0
+
+    def stage(self, rows: DataFrame) -> dict | None:
+        """Write rows that no version names yet."""
+        return self._stage_hot(self._fitted(rows))
+
+    def land(self, segment: dict | None, batch: str | None = None) -> None:
         state = self.manifest.edit()
         if segment:
             state["hot"].append(segment)
         if batch is not None:
-            state["batches"].append(batch)
+            stream, number = _batch(batch)
+            state["batches"][stream] = 0 if number is None else number
         self.manifest = self.manifest.publish(state)
-        return sum(segment["buckets"].values()) if segment else 0
 
     def _stage_hot(self, rows: DataFrame) -> dict | None:
         name = uuid.uuid4().hex
@@ -324,13 +383,19 @@ class TieredTable:
         told = F.when(axis.isNull(), F.raise_error(F.lit(f"{self.axis} is null"))).otherwise(bucket(axis, self.tier0, self.origin))
         # adaptive execution splits the partitions of a large bucket and joins those of small ones
         rows.withColumn(BUCKET, told).hint("rebalance", BUCKET).write.partitionBy(BUCKET).parquet(path)
-        # counts come from the footers of what was just written
-        counts = self.spark.read.parquet(path).groupBy(BUCKET).count().collect() if any(n.startswith(BUCKET) for n in self.store.children(path)) else []
+        counts = self._counts(path)
         if not counts:
             self.store.delete(path)
             return None
         return {"id": name, "buckets": {str(r[BUCKET]): r["count"] for r in counts}}
 
+    def _counts(self, path: str) -> list:
+        """Rows of each bucket of what was just written, from the footers."""
+        if not any(n.startswith(BUCKET) for n in self.store.children(path)):
+            return []
+        kind = T.StructType([*self.schema.fields, T.StructField(BUCKET, T.LongType())])
+        return self.spark.read.schema(kind).parquet(path).groupBy(BUCKET).count().collect()
+
     def update(self, *_, **__):
         raise ImmutableHistory("rows are never updated; insert a correction")
 
@@ -344,7 +409,7 @@ class TieredTable:
         Bounds need not be aligned: rows of the touched buckets outside the range go to
         a new hot segment in the same publish.
         """
-        touched = [(s, b) for s in self.state["hot"] for b in s["buckets"] if int(b) < end and int(b) + self.tier0 > start]
+        touched = [(s, b) for s in self.segments() for b in s["buckets"] if int(b) < end and int(b) + self.tier0 > start]
         if not touched:
             return None
         paths = [self.store.at("hot", s["id"], f"{BUCKET}={b}") for s, b in touched]
@@ -368,42 +433,64 @@ class TieredTable:
         staging = self.store.at("_staging", uuid.uuid4().hex)
         ready = rows.withColumn(BUCKET, by).repartitionByRange(F.col(BUCKET), F.col(f"`{self.axis}`")).sortWithinPartitions(BUCKET, f"`{self.axis}`")
         ready.write.option("parquet.block.row.count.limit", ROW_GROUP_ROWS).partitionBy(BUCKET).parquet(staging)
-        names = [n for n in self.store.children(staging) if n.startswith(BUCKET)]
-        if not names:
+        counts = self._counts(staging)
+        if not counts:
             self.store.delete(staging)
-            return {}
-        counts = self.spark.read.parquet(staging).groupBy(BUCKET).count().collect()
         return {r[BUCKET]: (f"{staging}/{BUCKET}={r[BUCKET]}", r["count"]) for r in counts}
 
     def _publish_cold(self, state: dict, ranges: dict[int, tuple[int, int]], staged: dict[int, tuple[str, int]], kind: str = "compact", superseded: dict[int, list[str]] | None = None) -> list[Action]:
-        """Name the staged folders, take their statistics and rollup deltas, publish once."""
-        actions, moved = [], {}
-        for b, (path, rows) in sorted(staged.items()):
-            start, end = ranges[b]
-            seq = catalog.next_seq(state, start, end)
-            target = self.store.at(f"bucket-{start}-{end}-{seq}.parquet")
-            self.store.rename(path, target)
-            catalog.insert(state, target, start, end, rows, seq, len(self.columns), _now())
-            moved[target] = (start, end)
-            for old in (superseded or {}).get(b, []):
-                catalog.set_status(state, old, catalog.SUPERSEDED)
-            actions.append(Action(kind, start, end, rows, [target]))
-        fresh = self._read(list(moved)).withColumn("_path", F.input_file_name())
-        path = F.regexp_extract("_path", r"(bucket-[^/]*\.parquet)/[^/]*$", 1)
-        fresh = fresh.withColumn("path", F.concat(F.lit(self.store.folder + "/"), path)).drop("_path")
-        state["stats"].append(self._write_stats(fresh))
-        if kind == "compact":
-            from strata.operators import rollup
+        """Name the staged folders, take their statistics and rollup deltas, publish once.
 
-            for grain in state["rollups"].values():
-                grain["segments"].append(rollup.write_delta(self, fresh, grain["grain"]))
-        self.manifest = self.manifest.publish(state)
+        Every name has a random id, so nothing of another writer's is touched; what a
+        refused publish leaves behind is deleted again.
+        """
+        from strata.operators import rollup
+
+        actions, moved, numbers, now = [], [], catalog.sequences(state), _now()
+        try:
+            for b, (path, rows) in sorted(staged.items()):
+                start, end = ranges[b]
+                target = self.store.at(f"bucket-{start}-{end}-{uuid.uuid4().hex}.parquet")
+                self.store.rename(path, target)
+                catalog.insert(state, target, start, end, rows, numbers[start, end], len(self.columns), now)
+                moved.append(target)
+                actions.append(Action(kind, start, end, rows, [target]))
+            catalog.set_status(state, [p for b in staged for p in (superseded or {}).get(b, [])], catalog.SUPERSEDED, now)
+            self._retire_empty(state, now)
+            grains = [g["grain"] for g in state["rollups"].values()] if kind == "compact" else []
+            cells = rollup.write_cells(self, self._with_path(moved), grains)
+            self._add_stats(state, rollup.cells_by_file(self, cells), moved)
+            for grain in state["rollups"].values() if kind == "compact" else ():
+                rollup.add_delta(self, grain, cells)
+            self.manifest = self.manifest.publish(state)
+        except Exception:
+            for target in moved:
+                self.store.delete(target)
+            raise
+        rollup.feed(self)
         return actions
 
-    def _write_stats(self, rows: DataFrame) -> dict:
-        name = uuid.uuid4().hex
-        stats.by_series(rows, ["path", *self.series], self.measures).write.parquet(self.store.at("stats", name))
-        return {"id": name, "columns": len(self.columns)}
+    def _with_path(self, paths: list[str]) -> DataFrame:
+        """Rows of cold files with their file's path."""
+        rows = self._read(paths).withColumn("_path", F.input_file_name())
+        path = F.regexp_extract("_path", r"(bucket-[^/]*\.parquet)/[^/]*$", 1)
+        return rows.withColumn("path", F.concat(F.lit(self.store.folder + "/"), path)).drop("_path")
+
+    def _add_stats(self, state: dict, rows: DataFrame, paths: list[str]) -> None:
+        name, told = uuid.uuid4().hex, set(paths)
+        rows.write.parquet(self.store.at("stats", name))
+        state["stats"].append({"id": name, "columns": len(self.columns)})
+        for e in state["files"]:
+            if e["path"] in told:
+                e["stats"] = name
+
+    @staticmethod
+    def _retire_empty(state: dict, now: int) -> None:
+        """Segments without buckets leave the manifest; their folders wait for their readers."""
+        for s in state["hot"]:
+            if not s["buckets"]:
+                state["retired"].append({"path": f"hot/{s['id']}", "gone": now})
+        state["hot"] = [s for s in state["hot"] if s["buckets"]]
 
     def file_stats(self) -> DataFrame:
         """Cells for each (active file, series)."""
@@ -421,39 +508,74 @@ class TieredTable:
 
     # -- upkeep --------------------------------------------------------------
 
-    def maintain(self, now: int | None = None) -> list[Action]:
-        """Compact closed buckets, evict, trim rollups, promote, heal statistics, collect."""
+    def maintain(self, now: int | None = None, grace: int = GRACE) -> list[Action]:
+        """Compact closed buckets, evict, trim rollups, promote, heal and merge statistics, collect."""
+        from strata.operators import rollup
+
         p = self.state["policy"]
         now = _now() if now is None else now
         cutoff = now - p["margin"]
+        self._settle(grace)
         actions = self._compact_closed(cutoff)
         if p["retain"] is not None:
             state = self.manifest.edit()
-            gone = catalog.evict_older_than(state, now - p["retain"])
+            gone = catalog.evict_older_than(state, now - p["retain"], _now())
             if gone:
                 self.manifest = self.manifest.publish(state)
                 actions.append(Action("evict", paths=gone))
-            from strata.operators import rollup
-
             actions += rollup.trim(self, now - p["retain"])
         for width in p["tiers"][1:]:
             actions += self._promote(width, cutoff)
         healed = self.backfill_stats()
         if healed:
             actions.append(Action("heal", paths=healed))
-        return actions + self._collect()
+        rollup.feed(self)
+        self._condense()
+        return actions + self._collect(grace)
+
+    def _settle(self, grace: int) -> None:
+        """Segments of batches over several tables: landed ones become plain, old ones that never landed go."""
+        if not any("txn" in s for s in self.state["hot"]):
+            return
+        state, now = self.manifest.edit(), _now()
+        for s in state["hot"]:
+            if "txn" in s and self.store.exists(s["txn"]):
+                del s["txn"]
+            elif "txn" in s and now - s["since"] > grace:
+                s["buckets"] = {}
+        self._retire_empty(state, now)
+        if state != self.state:
+            self.manifest = self.manifest.publish(state)
+
+    def _condense(self) -> None:
+        """Many folders of statistics or deltas become one; retired ones wait for their readers."""
+        from strata.operators import rollup
+
+        state, now = self.manifest.edit(), _now()
+        if len(state["stats"]) > FOLDERS:
+            old, files = state["stats"], [e["path"] for e in catalog.active(state)]
+            rows = self.file_stats()
+            state["stats"] = []
+            self._add_stats(state, rows, files)
+            state["retired"] += [{"path": f"stats/{s['id']}", "gone": now} for s in old]
+        for grain in state["rollups"].values():
+            state["retired"] += [{"path": f"rollups/{n}", "gone": now} for n in rollup.condense(self, grain, FOLDERS)]
+        if state != self.state:
+            self.manifest = self.manifest.publish(state)
 
     def _compact_closed(self, cutoff: int) -> list[Action]:
         """All closed tier-0 buckets by one job and one publish."""
-        closed = sorted({int(b) for s in self.state["hot"] for b in s["buckets"] if int(b) + self.tier0 <= cutoff})
+        mine = self.segments()
+        closed = sorted({int(b) for s in mine for b in s["buckets"] if int(b) + self.tier0 <= cutoff})
         if not closed:
             return []
         wanted = set(map(str, closed))
-        paths = [self.store.at("hot", s["id"], f"{BUCKET}={b}") for s in self.state["hot"] for b in s["buckets"] if b in wanted]
+        paths = [self.store.at("hot", s["id"], f"{BUCKET}={b}") for s in mine for b in s["buckets"] if b in wanted]
         staged = self._stage_cold(self._read(paths), bucket(self.axis_micros(), self.tier0, self.origin))
-        state = self.manifest.edit()
+        state, ids = self.manifest.edit(), {s["id"] for s in mine}
         for s in state["hot"]:
-            s["buckets"] = {b: n for b, n in s["buckets"].items() if b not in wanted}
+            if s["id"] in ids:
+                s["buckets"] = {b: n for b, n in s["buckets"].items() if b not in wanted}
         return self._publish_cold(state, {b: (b, b + self.tier0) for b in closed}, staged)
 
     def merge_window(self, start: int, end: int) -> Action | None:
@@ -482,31 +604,42 @@ class TieredTable:
         return self._publish_cold(self.manifest.edit(), {s: (s, ends[s]) for s in children}, staged, "merge", children)
 
     def backfill_stats(self) -> list[str]:
-        """Statistics for active files that have none."""
-        have = {r.path for r in self.file_stats().select("path").distinct().collect()}
-        lacking = [e["path"] for e in catalog.active(self.state) if e["path"] not in have and e["rows"]]
+        """Statistics for active files that have none; the manifest knows which."""
+        from strata.operators import rollup
+
+        have = {s["id"] for s in self.state["stats"]}
+        lacking = [e["path"] for e in catalog.active(self.state) if e.get("stats") not in have and e["rows"]]
         if lacking:
-            rows = self._read(lacking).withColumn("path", F.concat(F.lit(self.store.folder + "/"), F.regexp_extract(F.input_file_name(), r"(bucket-[^/]*\.parquet)/[^/]*$", 1)))
             state = self.manifest.edit()
-            state["stats"].append(self._write_stats(rows))
+            self._add_stats(state, rollup.write_cells(self, self._with_path(lacking), []), lacking)
             self.manifest = self.manifest.publish(state)
         return lacking
 
-    def _collect(self) -> list[Action]:
-        """Unlink what is no longer read, after the publish that said so; names stay as tombstones."""
-        gone = catalog.to_collect(self.state)
-        empty = [s["id"] for s in self.state["hot"] if not s["buckets"]]
-        if not gone and not empty:
+    def _collect(self, grace: int = GRACE) -> list[Action]:
+        """Unlink what no version younger than ``grace`` names, after the publish that said so; names stay as tombstones."""
+        before = _now() - grace
+        gone = catalog.to_collect(self.state, before)
+        retired = [r["path"] for r in self.state["retired"] if r["gone"] <= before]
+        if not gone and not retired:
             return []
         state = self.manifest.edit()
-        for path in gone:
-            catalog.set_status(state, path, catalog.PURGED)
-        state["hot"] = [s for s in state["hot"] if s["buckets"]]
+        catalog.set_status(state, gone, catalog.PURGED)
+        state["retired"] = [r for r in state["retired"] if r["gone"] > before]
         self.manifest = self.manifest.publish(state)
-        for path in gone + [self.store.at("hot", i) for i in empty]:
+        for path in gone + [self.store.at(r) for r in retired]:
             self.store.delete(path)
+        self._sweep(before)
+        self.manifest.forget(before)
         return [Action("collect", paths=gone)] if gone else []
 
+    def _sweep(self, before: int) -> None:
+        """Delete files that a writer left unpublished, if they are older than ``before`` and no version names them."""
+        known = {e["path"].rsplit("/", 1)[-1] for e in self.state["files"]}
+        names = self.store.ages(self.store.folder) | {f"_staging/{n}": t for n, t in self.store.ages(self.store.at("_staging")).items()}
+        for name, changed in names.items():
+            if changed < before and name not in known and (name.startswith("_staging/") or re.fullmatch(r"bucket--?\d+--?\d+-[0-9a-f]{32}\.parquet", name)):
+                self.store.delete(self.store.at(name))
+
     def set_retention(self, retain: str | int | None) -> None:
         us = policy.check_retention(self.state["policy"], retain)
         state = self.manifest.edit()

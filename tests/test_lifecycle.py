@@ -65,7 +65,7 @@ def test_late_rows_make_a_follow_up_file(spark, table):
 
 def test_promotion_merges_and_collects(spark, table):
     table.insert(frame(spark, hourly(range(8))))
-    actions = table.maintain(now=8 * DAY + 3 * HOUR)
+    actions = table.maintain(now=8 * DAY + 3 * HOUR, grace=0)
     merges = [a for a in actions if a.kind == "merge"]
     assert [(a.start, a.end, a.rows) for a in merges] == [(0, 7 * DAY, 168)]
     assert len(next(a for a in actions if a.kind == "collect").paths) == 7
@@ -87,7 +87,7 @@ def test_retention_is_whole_file(spark, table):
     with pytest.raises(BadSchema):
         table.set_retention("1d")
     table.insert(frame(spark, hourly(range(10))))
-    table.maintain(now=10 * DAY + 3 * HOUR)
+    table.maintain(now=10 * DAY + 3 * HOUR, grace=0)
     assert min(content(table.df()))[0] == 3 * DAY
     assert {e["status"] for e in table.state["files"]} == {"active", "purged"}
 
@@ -141,6 +141,100 @@ def test_two_writers_cannot_both_publish(spark, table, tmp_path):
     assert table.refresh().df().count() == 48
 
 
+def test_compaction_of_one_bucket_by_two_writers_loses_nothing(spark, table, tmp_path):
+    table.insert(frame(spark, hourly([0])))
+    late = TieredTable.open(spark, "readings", str(tmp_path))
+    table.insert(frame(spark, [(7, "late", 1.0), (8, "late", 2.0)]))
+    table.maintain(now=2 * DAY)
+    with pytest.raises(StrataError, match="another writer"):
+        late.maintain(now=2 * DAY)
+    rows = sorted(hourly([0]) + [(7, "late", 1.0), (8, "late", 2.0)])
+    assert content(table.refresh().df()) == rows
+    assert [e["rows"] for e in catalog.active(table.state)] == [26] and table.cold().count() == 26
+    late.refresh().maintain(now=2 * DAY)
+    assert content(late.df()) == rows
+
+
+def test_a_held_dataframe_reads_through_upkeep(spark, table):
+    table.insert(frame(spark, hourly(range(8))))
+    held = table.df()
+    table.maintain(now=8 * DAY + 3 * HOUR)
+    cold = table.cold()
+    table.insert(frame(spark, [(1, "late", 1.0)]))
+    table.maintain(now=8 * DAY + 3 * HOUR)
+    assert held.count() == 192 and cold.count() == 168 + 24 and table.df().count() == 193
+    table.maintain(now=8 * DAY + 3 * HOUR, grace=0)
+    assert {e["status"] for e in table.state["files"]} == {"active", "purged"} and table.state["retired"] == []
+    assert {n for n in table.store.children(table.store.folder) if n.startswith("bucket")} == {e["path"].rsplit("/", 1)[-1] for e in catalog.active(table.state)}
+    assert table.df().count() == 193
+
+
+def test_unpublished_leftovers_are_swept(spark, table):
+    table.insert(frame(spark, hourly([0])))
+    stray = table.store.at(f"bucket-0-{DAY}-{'0' * 32}.parquet")
+    frame(spark, hourly([5])).write.parquet(stray)
+    table.maintain(now=2 * DAY, grace=0)
+    assert not table.store.exists(stray) and table.df().count() == 24
+
+
+def test_a_file_of_other_columns_is_an_error(spark, table):
+    table.insert(frame(spark, hourly([0, 1])))
+    table.maintain(now=3 * DAY)
+    assert table.verify_files() == 2
+    path = catalog.active(table.state)[0]["path"]
+    for select in ("ts, device, value as valeu", "ts, device, cast(value as string) as value"):
+        table.store.delete(path)
+        frame(spark, hourly([0])).selectExpr(*select.split(", ")).write.parquet(path)
+        with pytest.raises(SchemaDrift):
+            table.verify_files()
+
+
+def test_many_deltas_and_statistics_are_merged(spark, table, monkeypatch):
+    monkeypatch.setattr("strata.operators.table.FOLDERS", 2)
+    rollup.create_rollup(table, "1h")
+    rows = hourly([0])
+    table.insert(frame(spark, rows))
+    table.maintain(now=2 * DAY)
+    for k in range(3):
+        late = [(k * HOUR + 1, "late", float(k)), (k * HOUR + 2, None, None)]
+        table.insert(frame(spark, late))
+        table.maintain(now=2 * DAY)
+        rows += late
+    assert len(table.state["stats"]) <= 3 and len(table.state["rollups"][str(HOUR)]["segments"]) <= 3
+    assert rolled(rollup.rollup_view(table, "1h")) == expected(rows, HOUR)
+    assert table.file_stats().agg(F.sum("value_count")).first()[0] == 27
+
+
+def test_tiered_rollup_follows_its_table(spark, table):
+    rows = hourly(range(3))
+    table.insert(frame(spark, rows))
+    rollup.create_rollup(table, "1h")
+    table.maintain(now=DAY + 3 * HOUR)
+    target = rollup.tiered_rollup(table, "1h", "7d")
+    assert target.df().count() == 24
+    table.maintain(now=3 * DAY + 3 * HOUR)
+    late = [(7, "a", 100.0), (2 * DAY + 9, "c", None)]
+    table.insert(frame(spark, late))
+    table.maintain(now=3 * DAY + 3 * HOUR)
+    target.refresh().maintain(now=20 * DAY)
+    assert target.cold().count() == 72 + 2 and target.hot().count() == 0
+    fresh = [(4 * DAY, "a", 5.0)]
+    table.insert(frame(spark, fresh))
+    assert rolled(rollup.rollup_view(table, "1h")) == expected(rows + late + fresh, HOUR)
+    # a run that stopped between its publish and the target's
+    state = target.manifest.edit()
+    state["batches"]["readings"] -= 1
+    table.maintain(now=5 * DAY + 3 * HOUR)
+    assert rolled(rollup.rollup_view(table, "1h")) == expected(rows + late + fresh, HOUR)
+
+
+def test_batches_keep_the_last_number_only(spark, table):
+    for n in range(3):
+        assert table.insert(frame(spark, [(n, "a", 1.0)]), batch=f"s:{n}") == 1
+    assert table.insert(frame(spark, [(9, "a", 1.0)]), batch="s:1") == 0 and table.insert(frame(spark, [(9, "a", 1.0)]), batch="once") == 1
+    assert table.insert(frame(spark, [(9, "a", 1.0)]), batch="once") == 0 and table.state["batches"] == {"s": 2, "once": 0}
+
+
 def test_refusals(spark, table, tmp_path):
     with pytest.raises(ImmutableHistory):
         table.update()
@@ -196,7 +290,8 @@ def test_rollup_equals_raw_through_compaction_late_rows_and_merges(spark, table)
     table.maintain(now=30 * DAY)
     assert view("4h") == expected(rows + late, 4 * HOUR)
     tiered = rollup.tiered_rollup(table, "1h")
-    assert tiered.df().count() == len(expected(rows + late, HOUR))
+    assert view("1h") == expected(rows + late, HOUR)
+    assert tiered.df().select("ts", "device").distinct().count() == len(expected(rows + late, HOUR))
     rollup.drop_rollup(table, "4h")
     with pytest.raises(BadSchema):
         rollup.rollup_view(table, "4h")
