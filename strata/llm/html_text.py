@@ -2,22 +2,30 @@
 
 The standard library's streaming parser turns a page into lines: a line ends at
 every block tag and ``<br>`` inside running text joins as white space.  Each line
-has its characters and its tags; their ratio, smoothed by a Gaussian over the
-neighbouring lines, is clustered by a threshold into content and rest, and the
-content lines' regions are selected.  Structure decides what the ratio cannot:
-lines inside navigation, headers, footers, asides, forms, scripts, adverts and
-comment sections never count, and where a page marks its article (``<article>`` or
-``<main>``), short lines inside it belong to the text as well.  A form, or an element
-that only its class, id or role marks, is no rest if the page's article stands in it.
+has its characters, its tags and the element it stands in.  The text-to-tag ratios,
+smoothed by a Gaussian over the neighbouring lines, are clustered by a threshold into
+content and rest.  The content lines choose the region: from the page's root the
+extraction goes down to the element that holds nearly all of their characters, and
+all lines of that element are text.  So a short line of the article stays, and a menu
+or an advert beside it goes, whatever they are called.  ``<article>`` and ``<main>``
+only stop the descent: nothing inside the chosen article is split off.
+
+What the ratio cannot tell is left out by name: lines inside navigation, headers,
+footers, asides, forms and scripts, and inside elements whose class, id or role has a
+whole word for these, for adverts or for comments.  A form, or an element that only
+its class, id or role marks, is no rest if the page's article stands in it.
 
 Defined results: a null or empty page gives an empty text; a page without content
-lines too; repeated rows are treated one by one; a left out end of ``<head>``, ``<p>``,
-list items and table cells is where HTML has it, other broken markup is read as the
+lines too; repeated rows are treated one by one; among elements with equal shares the
+first is taken; a page is parsed whole, whatever its length; other columns of the
+input are not read, so their names cannot clash; a left out end of ``<head>``, ``<p>``,
+list items and table cells is where HTML has it; other broken markup is read as the
 parser reads it, an unclosed script or comment swallowing the rest.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 from collections import defaultdict
 from html.parser import HTMLParser
@@ -33,14 +41,31 @@ BLOCK = frozenset("address article aside blockquote body caption center dd detai
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: fixed values: elements without an end tag
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: fixed values: words of class, id and role that mark what is not the article
-MARKS = re.compile(
-    r"(?:^|[^a-z])(?:ads?|advert\w*|adbox|adslot|sponsor\w*|promo\w*|banner|sidebar|side-bar|widget|nav\w*|menu\w*|breadcrumbs?|header|masthead|footer|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommend\w*|comments?|comment-\w+|respond|disqus|replies|reply|pagination|pager|toolbar|search\w*|complementary|navigation|banner|contentinfo|dialog)(?:$|[^a-z])"
+#: fixed values: last words of classes, ids and roles of what is not the article
+MARKS = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising adsense sponsor sponsors sponsored promo promos banner banners sidebar sidebars widget widgets nav navbar navigation menu menus breadcrumb breadcrumbs masthead footer cookie cookies consent gdpr notice notices alert alerts popup modal overlay newsletter subscribe signup login share sharing social related recommended recommendations comment comments respond disqus reply replies pagination pager toolbar".split()
 )
-#: fixed values: class words of the article itself, which MARKS doesn't override
-ARTICLE = re.compile(r"(?:^|[^a-z])(?:article|post|entry|story|main)-?(?:body|content|text|header|head|title)?(?:$|[^a-z])")
-#: fixed values: class words that tell of a layout and mark nothing
-LAYOUT = re.compile(r"(?:^|(?<=[^a-z]))(?:has|no|with|without)[-_][\w-]+")
+#: fixed values: roles of such elements
+ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog menu menubar toolbar".split())
+#: fixed values: words that only say that a name is of a container or a part
+PARTS = frozenset("area bar block body bottom box button buttons column container content count form group holder icon icons inner item items left link links list outer panel right row section slot thread top unit wrap wrapper zone".split())
+#: fixed values: first words of a page's own header, and of classes that tell of a layout and mark nothing
+HEADERS = frozenset("site page top global".split())
+LAYOUT = frozenset("has no with without".split())
+WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+
+
+@functools.lru_cache(1 << 14)
+def marked(name: str) -> bool:
+    """Whether a class or id, split into its words, ends in one that marks no article."""
+    words = [w.lower() for w in WORD.findall(name)]
+    while len(words) > 1 and words[-1] in PARTS:
+        words.pop()
+    if not words or words[0] in LAYOUT:
+        return False
+    return words[-1] in MARKS or words[-1] == "header" and (len(words) == 1 or words[0] in HEADERS)
+
+
 #: fixed values: elements of a head, any other ends it
 HEAD = frozenset("base basefont bgsound link meta title noscript noframes style script template head html".split())
 #: fixed values: elements whose start ends an open one of these, unless one of those stands between
@@ -54,22 +79,26 @@ SPACES = re.compile(r"\s+")
 SIGMA = 1.0
 #: a line is content if its smoothed ratio is above this share of the page's standard deviation
 THRESHOLD = 0.5
+#: an element is the region if it holds this share of the content lines' characters
+SHARE = 0.95
 
 
 class Lines(HTMLParser):
-    """Parser events gathered into lines of (text, tags, region, heading, linked).
+    """Parser events gathered into lines of (text, tags, node, heading, linked).
 
-    ``region`` numbers the marked article a line stands in, 0 for none; ``linked`` tells
-    that all of a line's text is links.  Elements named in ``kept`` don't skip.
+    ``node`` numbers the block element that a line stands in, ``parents`` and ``kinds``
+    are those of each node, node 0 being the page; ``linked`` tells that all of a line's
+    text is links.  Elements named in ``kept`` don't skip.
     """
 
     def __init__(self, kept: frozenset[str] = frozenset()):
         super().__init__(convert_charrefs=True)
         self.kept = kept
         self.lines: list[tuple[str, int, int, bool, bool]] = []
-        self.stack: list[tuple[str, bool, int, str, int]] = []  # tag, skips, region outside, name if it may be kept, lost article outside
-        self.skip = self.region = self.regions = self.tags = self.links = 0
-        self.heading = False
+        self.stack: list[tuple[str, bool, int, str, int, bool]] = []  # tag, skips, node outside, name if it may be kept, lost article outside, in an article outside
+        self.parents, self.kinds = [0], [""]
+        self.skip = self.node = self.tags = self.links = 0
+        self.inside = self.heading = False
         self.linked = True
         self.text: list[str] = []
         self.open: dict[str, int] = defaultdict(int)  # tags on the stack
@@ -78,12 +107,18 @@ class Lines(HTMLParser):
         self.at = self.free = self.articles = 0  # lost article, letters that aren't skipped, open articles
         self.found = False  # an article that isn't skipped has text
 
+    def close(self):
+        if self.rawdata.startswith("<!--"):  # a comment without an end
+            self.rawdata = ""
+        super().close()
+        self.end_line()
+
     def end_line(self):
         if self.text:
             text = SPACES.sub(" ", "".join(self.text)).strip()
             self.text.clear()
             if text:
-                self.lines.append((text, self.tags, self.region, self.heading, self.linked))
+                self.lines.append((text, self.tags, self.node, self.heading, self.linked))
                 self.tags = 0
         self.heading, self.linked = False, True
 
@@ -102,13 +137,12 @@ class Lines(HTMLParser):
             if tag in ends:
                 for t in ends[tag][0]:
                     self.end(t, ends[tag][1])
-        skips, name = tag in SKIP and not (tag == "header" and self.region), ""
+        skips, name = tag in SKIP and not (tag == "header" and self.inside), ""
         if tag == "form":
             name = f"form {attrs}"
         if attrs and (name or not skips) and tag not in ("html", "body"):
-            said = " ".join(v.lower() for k, v in attrs if v and k in ("class", "id", "role"))
-            if said and not name and MARKS.search(said) and MARKS.search(LAYOUT.sub("", said)) and not ARTICLE.search(said):
-                skips, name = True, f"{tag} {said}"
+            if not name and any(marked(w) if k != "role" else w.lower() in ROLES for k, v in attrs if v and k in ("class", "id", "role") for w in v.split()):
+                skips, name = True, f"{tag} {attrs}"
             if any(k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and bool(v) and "display:none" in v.replace(" ", "") for k, v in attrs):
                 skips, name = True, ""
         if name in self.kept:
@@ -116,15 +150,18 @@ class Lines(HTMLParser):
         self.links += tag == "a"
         self.articles += tag == "article"
         self.open[tag] += 1
-        self.stack.append((tag, skips, self.region, name, self.at))
+        self.stack.append((tag, skips, self.node, name, self.at, self.inside))
         self.skip += skips
         if name:
             self.names.append(name)
+        if tag in BLOCK:
+            self.parents.append(self.node)
+            self.kinds.append(tag)
+            self.node = len(self.kinds) - 1
         if tag in ("article", "main"):
-            if not self.skip and not self.region:
-                self.regions += 1
-                self.region = self.regions
-            elif self.skip and self.skip == len(self.names) > len(self.lost[self.at][0]):
+            if not self.skip:
+                self.inside = True
+            elif self.skip == len(self.names) > len(self.lost[self.at][0]):
                 self.at = len(self.lost)
                 self.lost.append([tuple(self.names), 0])
 
@@ -145,9 +182,9 @@ class Lines(HTMLParser):
                 self.articles -= sum(t == "article" for t, *_ in self.stack[k:])
                 for t, *_ in self.stack[k:]:
                     self.open[t] -= 1
-                names = sum(bool(name) for *_, name, _ in self.stack[k:])
+                names = sum(bool(entry[3]) for entry in self.stack[k:])
                 del self.names[len(self.names) - names :]
-                self.region, self.at = self.stack[k][2], self.stack[k][4]
+                _, _, self.node, _, self.at, self.inside = self.stack[k]
                 del self.stack[k:]
                 return
 
@@ -204,39 +241,66 @@ def smooth(values: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(values, kernel)[at] / np.convolve(np.ones(len(values)), kernel)[at]
 
 
-def content_lines(lines: list[tuple[str, int, int, bool, bool]]) -> list[str]:
-    """The lines of the content regions, in page order.
+def cluster(lines: list[tuple], sigma: float = SIGMA, threshold: float = THRESHOLD, ratios: bool = True) -> np.ndarray:
+    """Which lines are content: smoothed text-to-tag ratios above a share of their spread."""
+    ratio = smooth(np.array([len(t) / max(1, n) if ratios else 1.0 for t, n, *_ in lines], float), sigma)
+    content = ratio >= threshold * ratio.std()
+    return content if content.any() else np.ones(len(lines), bool)
+
+
+def region(nodes: np.ndarray, weights: np.ndarray, parents: list[int], kinds: list[str], share: float = SHARE) -> int:
+    """The deepest node on the way down along which ``share`` of the weights stays together; an article is not split."""
+    below = np.zeros(len(parents))
+    np.add.at(below, nodes, weights)
+    children: dict[int, list[int]] = defaultdict(list)
+    holds = np.zeros(len(parents), bool)  # an article is inside
+    for n in range(len(parents) - 1, 0, -1):  # a child's number is above its parent's
+        below[parents[n]] += below[n]
+        holds[parents[n]] |= holds[n] or kinds[n] == "article"
+        children[parents[n]].append(n)
+    at, whole = 0, share * weights.sum()
+    while kinds[at] != "article" and not (kinds[at] == "main" and not holds[at]):
+        deeper = [n for n in children[at] if below[n] >= whole]
+        if not deeper:
+            break
+        at = deeper[-1]
+    return at
 
-    Where the smoothed ratio is above the threshold a line is content.  A marked
-    article with a content line is a content region; without marked articles the
-    region reaches from the first content line, and the headings right above it, to
-    the last, and the lines right below it that are not links.  All lines of a content
-    region are text.
+
+def content_lines(lines: list[tuple[str, int, int, bool, bool]], parents: list[int], kinds: list[str], sigma: float = SIGMA, threshold: float = THRESHOLD, ratios: bool = True) -> list[str]:
+    """The lines of the content region, in page order.
+
+    Where no element short of the page itself holds the content lines, the region
+    reaches from the first of them to the last, and over the lines right below it that
+    are not links.  Headings right above a region belong to it unless it is an article.
     """
     if not lines:
         return []
-    ratio = smooth(np.array([len(t) / max(1, n) for t, n, *_ in lines], float))
-    content = ratio >= THRESHOLD * ratio.std()
-    if not content.any():
-        content[:] = True
-    regions = np.array([r for _, _, r, *_ in lines])
-    chosen = set(regions[content & (regions > 0)].tolist())
-    if chosen:
-        keep = np.isin(regions, list(chosen))
-    else:
-        at = np.flatnonzero(content)
-        first, last = int(at[0]), int(at[-1])
-        while first and lines[first - 1][3]:
-            first -= 1
+    content = cluster(lines, sigma, threshold, ratios)
+    nodes = np.array([n for _, _, n, *_ in lines])
+    at = region(nodes[content], np.array([len(t) for t, *_ in lines], float)[content], parents, kinds)
+    if kinds[at] in ("", "html", "body"):
+        places = np.flatnonzero(content)
+        first, last = int(places[0]), int(places[-1])
         while last + 1 < len(lines) and not lines[last + 1][4]:
             last += 1
         keep = np.zeros(len(lines), bool)
         keep[first : last + 1] = True
+    else:
+        inside = np.zeros(len(parents), bool)
+        inside[at] = True
+        for n in range(at + 1, len(parents)):
+            inside[n] = inside[parents[n]]
+        keep = inside[nodes]
+        first = int(keep.argmax())
+    while kinds[at] != "article" and first and lines[first - 1][3]:
+        first -= 1
+        keep[first] = True
     return [line[0] for line, k in zip(lines, keep.tolist()) if k]
 
 
-def extract(html: str | None) -> str:
-    """The main text of one page, blocks joined by line feeds."""
+def extract(html: str | None, **method) -> str:
+    """The main text of one page, blocks joined by line feeds; ``method`` goes to :func:`content_lines`."""
     if not html:
         return ""
     kept = frozenset()
@@ -244,12 +308,11 @@ def extract(html: str | None) -> str:
         parser = Lines(kept)
         parser.feed(html)
         parser.close()
-        parser.end_line()
         more = parser.wrappers()
         if not more:
             break
         kept |= more
-    return "\n".join(content_lines(parser.lines))
+    return "\n".join(content_lines(parser.lines, parser.parents, parser.kinds, **method))
 
 
 def _extract(batches):
