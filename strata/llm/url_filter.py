@@ -7,8 +7,11 @@ lists (features of each example) give the errors, posting lists (examples of eac
 feature) give the gradient, and ``aggregate`` runs the epochs.
 
 Defined results: a null url, or one without ``://``, has empty host and path and
-is judged by the model's bias alone; repeated rows are judged one by one; an empty
-table gives an empty result.
+is judged by the few n-grams of the empty marks and the bias; a score of exactly zero
+allows; among rules of one length the first listed wins; urls are read whole, however
+long; repeated rows are judged one by one; an empty table gives an empty result.
+Columns of the input named host, path, rule, verdict or score are replaced, all others
+are kept.
 """
 
 from __future__ import annotations
@@ -19,26 +22,38 @@ from pyspark.sql import functions as F
 #: fixed values: the contract's rules
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
 
-#: words of hosts that are labelled block and allow; fixed values of the labelled table
-BAD = ("casino-royal", "best-casino", "casino-win", "free-bets", "poker-win", "lottery-win", "slots-bonus", "cheap-pills", "pharma-pills", "adult-cams", "adult-x", "xxx-videos", "hot-singles", "sex-chat", "replica-watches", "fast-loans", "payday-loans", "crypto-profit", "click-tracker", "ads-banner", "ads-track", "spam-farm", "spam-links", "download-crack", "warez-serials", "torrent-movies", "viagra-shop", "porn-tube")
-GOOD = ("news", "daily-post", "garden", "library", "school", "lessons", "wiki", "history", "science", "recipes", "museum", "weather", "sports", "travel", "health", "music", "forum", "university", "city-hall", "theatre", "maps", "cinema", "nature", "poetry", "thertion", "onther", "thation", "ingeror", "leauoi", "quement", "tionen", "ertheat", "schein", "undver", "losque", "ciones", "restan", "whandor", "hedion", "aneres")
-LEADS = ("", "www.", "m.", "blog.")
-ENDS = (".example.com/en/{}", ".example.net/{}.html", ".example.org/de/{}?page=2", ".example.com/fr/{}/", ".example.net/es/{}#top")
+#: the labelled table's hosts, written down from general knowledge of the web; fixed values
+BAD = (
+    "onlinecasino casinobonus slotmachines jackpotcity pokerroom roulettespin betting247 sportsbet lotterywinner bingohall buyviagra cialisonline discountmeds rxpharmacy painpills dietpills steroidshop xxxtube pornstars adultdating sexcams nudegirls escortservice hotwives "
+    "paydayloan quickcash debtrelief bitcoinprofit cryptodoubler forexsignals getrichnow replicawatches fakerolex luxuryhandbags warezcentral crackedgames keygenerator torrentking freemovies adserver adtracker popupads bannerclicks trafficexchange spammail linkfarm backlinks "
+    "buyfollowers miracleweightloss psychicreadings winprizes freegiftcard surveyrewards freeiphone"
+).split()
+#: common words of such hosts, each written with two of the affixes in turn; fixed values
+ROOTS = "casino poker slots roulette jackpot bet betting lottery bingo viagra pills meds pharmacy steroids porn xxx sex adult cams dating escort loans payday cash bitcoin crypto forex replica warez crack keygen torrent ads ad popup clicks traffic spam links followers prizes".split()
+AFFIXES = ("online{}", "{}24", "best{}", "{}hub", "top-{}", "{}-deals", "{}zone", "e{}s", "my{}", "{}-club")
+GOOD = (
+    "dailynews cityguardian publiclibrary stateuniversity sciencemuseum weatherservice gardenclub cookbook travelguide healthinfo musicschool historyarchive worldatlas filmreview poetrycorner mathforum bikeshop bookstore artgallery communitycentre parliament chessclub birdwatching photography software developers opensource gazette observer tribune theatre orchestra football swimming farmers bakery "
+    "zeitung stadtbibliothek hochschule gesundheit reisen rezepte wetterdienst geschichte wissenschaft handwerk nachrichten verein journal bibliotheque recettes voyages musee meteo sante ecole cinema jardinage quotidien universite noticias biblioteca universidad cocina viajes museo tiempo salud escuela jardin periodico ciencia "
+    "archive docs wiki blog shop status mail forum help about people stories letters notes almanac railway harbour mountain rivers island meadow orchard village castle northern western eastern southern"
+).split()
+LEADS = ("", "www.", "en.", "my")
+ENDS = (".com/", ".net/index.html", ".info/page/{}", ".co/article-{}", ".eu/start?id={}")
 
 
 def labelled_urls() -> list[tuple[str, int]]:
     """The small labelled url table: (url, 1 for block).
 
-    Every host word is written twice, with leads and ends dealt in turn over both
-    labels, so that only the word itself tells them apart.
+    Every host is written twice, with leads and ends dealt in turn over both labels, so
+    that only the host itself tells them apart.
     """
-    words = [(w, 1) for w in BAD] + [(w, 0) for w in GOOD]
-    return [(f"http://{LEADS[(i + k) % 4]}{w}{ENDS[(i + 2 * k) % 5].format(17 + 31 * i)}", y) for i, (w, y) in enumerate(words) for k in range(2)]
+    built = [AFFIXES[(3 * i + k) % len(AFFIXES)].format(root) for i, root in enumerate(ROOTS) for k in range(2)]
+    hosts = [(w, 1) for w in [*BAD, *built]] + [(w, 0) for w in GOOD]
+    return [(f"http://{LEADS[(i + k) % 4]}{w}{ENDS[(i + 2 * k) % 5].format(17 + 31 * i)}", y) for i, (w, y) in enumerate(hosts) for k in range(2)]
 
 
 DIM = 4096
 GRAMS = (3, 4)
-EPOCHS, RATE, DECAY = 60, 1.0, 0.0005
+EPOCHS, RATE, DECAY = 120, 1.0, 0.0005
 
 
 def _let(value: Column, body) -> Column:
@@ -106,6 +121,9 @@ def train(spark: SparkSession, labelled=None) -> DataFrame:
 
 def rule_for(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     """The longest fitting rule and its verdict, null where none fits."""
+    name = verdict = F.lit(None).cast("string")
+    if not rules:
+        return name, verdict
     name = verdict = None
     for rule, says in sorted(rules, key=lambda r: -len(r[0])):
         at, _, rest = rule.partition("/")
@@ -123,7 +141,8 @@ def weights(model: DataFrame) -> Column:
 def judge(pages: DataFrame, model: DataFrame, url: str = "url", rules=RULES) -> DataFrame:
     """Add host, path, rule, verdict and score (the model's log-odds of block)."""
     host, path = parts(F.col(url))
-    out = pages.drop("host", "path", "rule", "verdict", "score").withColumns({"host": host, "path": path})
+    mine = ("host", "path", "rule", "verdict", "score")
+    out = pages.select(*[F.col(f"`{c}`") for c in pages.columns if c.lower() not in mine], host.alias("host"), path.alias("path"))
     rule, says = rule_for(F.col("host"), F.col("path"), rules)
     w = weights(model)
     score = F.aggregate(features(F.col("host"), F.col("path")), w[0], lambda s, f: s + w[f + 1])

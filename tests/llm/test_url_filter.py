@@ -73,6 +73,27 @@ def test_the_labelled_urls_are_told_apart(spark):
     assert all((r.score > 0) == bool(r.label) for r in U.judge(rows, U.train(spark)).collect())
 
 
+def test_held_out_hosts(spark):
+    """Five folds of hosts, no host in training and test: precision and recall of block."""
+    table = U.labelled_urls()
+    hit = said = bad = 0
+    for fold in range(5):
+        test = [row for i, row in enumerate(table) if i // 2 % 5 == fold]
+        model = U.train(spark, [row for i, row in enumerate(table) if i // 2 % 5 != fold])
+        rows = U.judge(spark.createDataFrame(test, "url string, label int"), model, rules=()).collect()
+        hit += sum(r.label and r.verdict == "block" for r in rows)
+        said += sum(r.verdict == "block" for r in rows)
+        bad += sum(r.label for r in rows)
+    print(f"precision {hit / said:.3f} recall {hit / bad:.3f}")
+    assert hit / said > 0.8 and hit / bad > 0.3
+
+
+def test_rules_may_be_left_out_and_rows_repeat(spark):
+    rows = spark.createDataFrame([("http://com/fr/x", 1)] * 2, "url string, `a.b` int")
+    got = U.judge(rows, U.train(spark), rules=()).collect()
+    assert len(got) == 2 and got[0] == got[1] and got[0].rule is None and got[0]["a.b"] == 1
+
+
 def test_clashing_columns_and_empty_table(spark):
     model = U.train(spark)
     rows = spark.createDataFrame([("http://a.org/", "mine", 5.0)], "url string, host string, score double")
