@@ -12,12 +12,11 @@ import time
 import zlib
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: a side is broadcast only when it has at most so many rows (of a few numbers each)
-BROADCAST_ROWS = 1 << 20
-
+#: a side is broadcast only when its columns measure at most so many bytes
+BROADCAST_BYTES = 32 << 20
 
 #: rows in an Arrow batch; whole texts are long, and both sides hold a batch several times
 BATCH_ROWS = 1000
@@ -38,26 +37,40 @@ def ready(spark: SparkSession) -> None:
         context.setCheckpointDir(told)
 
 
-def numbered_rows(docs: DataFrame) -> tuple[DataFrame, str]:
-    """``docs`` with a running number of its rows, in a column whose name it doesn't have."""
+def free(docs: DataFrame, name: str) -> str:
+    """``name``, with as many underscores after it as make it no column of ``docs``."""
     taken = {c.lower() for c in docs.columns}
-    name = next(n for n in (f"_rid{'_' * k}" for k in range(len(taken) + 1)) if n not in taken)
-    return docs.withColumn(name, F.monotonically_increasing_id()), name
+    return next(n for n in (f"{name}{'_' * k}" for k in range(len(taken) + 1)) if n.lower() not in taken)
+
+
+def digest(text: Column) -> Column:
+    """Tells rows apart that a second reading of an input gives under another number."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose numbers are in the one column of ``gone``."""
-    rows, name = numbered_rows(docs)
-    return rows.join(sized(gone.toDF(name)), name, "left_anti").drop(name).select(*[f"`{c}`" for c in docs.columns])
+def without(docs: DataFrame, gone: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` without the rows that ``gone`` has as (rid, digest), by their running numbers.
+
+    A number whose digest is another one means that the input came in another order the
+    second time; that is an error, never a wrong row.
+    """
+    rid, told, kept = free(docs, "_rid"), free(docs, "_told"), [f"`{c}`" for c in docs.columns]
+    marked = docs.withColumn(rid, F.monotonically_increasing_id()).join(sized(gone.toDF(rid, told)), rid, "left")
+    same = F.col(told) == digest(F.col(f"`{text}`"))
+    wrong = F.raise_error(F.lit("the input did not give the same rows twice; write it to a table first")).cast("boolean")
+    return marked.filter(F.when(F.col(told).isNull(), True).when(same, False).otherwise(wrong)).select(*kept)
 
 
-def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+def sized(df: DataFrame, limit: int | None = None) -> DataFrame:
     """``df`` cut off by checkpoint(), with a broadcast hint only if it is small enough.
 
-    Beyond ``limit`` rows the join that follows shuffles both sides instead.
+    The bytes of its columns are summed up; beyond ``limit`` of them (BROADCAST_BYTES)
+    the join that follows shuffles both sides instead.
     """
     df = df.checkpoint()
-    return F.broadcast(df) if df.count() <= limit else df
+    wide = [F.coalesce(F.octet_length(f.name), F.lit(0)).cast("long") if f.dataType.simpleString() in ("string", "binary") else F.lit(16).cast("long") for f in df.schema.fields]
+    total = df.agg(F.coalesce(F.sum(functools.reduce(lambda a, b: a + b, wide, F.lit(16).cast("long"))), F.lit(0))).first()[0]
+    return F.broadcast(df) if total <= (BROADCAST_BYTES if limit is None else limit) else df
 
 
 #: seconds after which a worker process lets go of what no task has used
@@ -125,6 +138,23 @@ def shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of an input as the optimizer knows them from its files, or measured where it does not."""
+    told = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if told < 1 << 56:
+        return told
+    wide = [F.coalesce(F.octet_length(f"`{f.name}`"), F.lit(0)).cast("long") if f.dataType.simpleString() in ("string", "binary") else F.lit(8).cast("long") for f in df.schema.fields]
+    return df.agg(F.coalesce(F.sum(functools.reduce(lambda a, b: a + b, wide)), F.lit(0))).first()[0]
+
+
+def shards_for(df: DataFrame, size: int) -> int:
+    """Shards of an index over ``df``: one for each ``size`` bytes of input, and no fewer than there are shuffle partitions.
+
+    So what one task holds is bounded by the shard's bytes and not by how the session is set.
+    """
+    return max(1, shuffle_partitions(df), -(-input_bytes(df) // size))
+
+
 def string_buffer(column) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets (n + 1) of an Arrow string or binary array without nulls."""
     import pyarrow as pa

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import shuffle_partitions, sized, trimmed, without
+from strata.llm.common import digest, shards_for, sized, trimmed, without
 
 FILL = 0.75
 #: a task's filter is sent on when it holds so many fingerprints
@@ -49,6 +49,11 @@ class QuotientFilter:
         else:
             prints, at = np.unique(prints, return_inverse=True)
             counts = np.bincount(at, weights=counts, minlength=len(prints)).astype(np.int64)
+        return cls.from_sorted(prints, counts, bits)
+
+    @classmethod
+    def from_sorted(cls, prints: np.ndarray, counts: np.ndarray, bits: int = 64) -> QuotientFilter:
+        """From distinct sorted fingerprints."""
         q = min(bits - 1, max(1, int(np.ceil(np.log2(max(1, len(prints)) / FILL)))))
         r = np.uint64(bits - q)
         quotients = (prints >> r).astype(np.int64)
@@ -65,8 +70,11 @@ class QuotientFilter:
         return (quotients[run] << np.uint64(self.bits - self.q)) | self.remainders, self.counters
 
     def merge(self, *others: QuotientFilter) -> QuotientFilter:
+        """One filter of all fingerprints, counts added up: sorted runs are merged two by two, nothing is sorted anew."""
         parts = [x.items() for x in (self, *others)]
-        return QuotientFilter.build(np.concatenate([p for p, _ in parts]), np.concatenate([c for _, c in parts]), self.bits)
+        while len(parts) > 1:
+            parts = [_merge_sorted(*parts[k : k + 2]) if k + 1 < len(parts) else parts[k] for k in range(0, len(parts), 2)]
+        return QuotientFilter.from_sorted(*parts[0], self.bits)
 
     def to_bytes(self) -> bytes:
         width = (self.bits - self.q + 7) // 8
@@ -94,6 +102,19 @@ class QuotientFilter:
         return cls(q, bits, occupied, run_ends, wide.view("<u8").ravel().astype(np.uint64), counters)
 
 
+def _merge_sorted(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Merge two sorted runs of (fingerprint, count); equal ones become one."""
+    if len(a[0]) < len(b[0]):
+        a, b = b, a
+    at = np.searchsorted(a[0], b[0])
+    found = at < len(a[0])
+    found[found] = a[0][at[found]] == b[0][found]
+    counts = a[1].copy()
+    counts[at[found]] += b[1][found]
+    new = ~found
+    return np.insert(a[0], at[new], b[0][new]), np.insert(counts, at[new], b[1][new])
+
+
 def _normalised(texts):
     import pyarrow as pa
     import pyarrow.compute as pc
@@ -112,8 +133,8 @@ def _digests(with_text: bool):
             raw = normal.to_pylist()
             prints = pa.array(np.array([xxhash.xxh3_64_intdigest(x) for x in raw], np.uint64).view(np.int64))
             digests = pa.array([hashlib.sha256(x).digest() for x in raw], pa.binary())
-            columns = [batch.column(0), batch.column(1), prints, digests]
-            yield pa.RecordBatch.from_arrays(columns + [normal.cast(pa.binary())] * with_text, ["rid", "doc_id", "fp", "sha"] + ["body"] * with_text)
+            columns = [batch.column(0), batch.column(1), batch.column(3), prints, digests]
+            yield pa.RecordBatch.from_arrays(columns + [normal.cast(pa.binary())] * with_text, ["rid", "doc_id", "digest", "fp", "sha"] + ["body"] * with_text)
 
     return trimmed(run)
 
@@ -154,23 +175,26 @@ def _merged(table):
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", with_text: bool = False) -> DataFrame:
-    """(rid, doc_id, fp, sha[, body]) of every row; rid numbers the rows of the scan."""
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    """(rid, doc_id, digest, fp, sha[, body]) of every row; rid numbers the rows of the scan."""
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), digest(F.col(text)).alias("digest"))
     kind = docs.select(F.col(doc_id)).schema[0].dataType.simpleString()
-    return rows.mapInArrow(_digests(with_text), f"rid long, doc_id {kind}, fp long, sha binary" + ", body binary" * with_text)
+    return rows.mapInArrow(_digests(with_text), f"rid long, doc_id {kind}, digest long, fp long, sha binary" + ", body binary" * with_text)
 
 
-def repeated(prints: DataFrame) -> DataFrame:
+#: bytes of input whose fingerprints meet in one task
+SHARD = 512 << 20
+
+
+def repeated(prints: DataFrame, shards: int = 1) -> DataFrame:
     """(fp, n) of the fingerprints that the merged filters count above one."""
-    shards = max(1, shuffle_partitions(prints))
     filters = prints.select("fp").mapInArrow(_filters(shards), "shard int, filter binary")
     return filters.groupBy("shard").applyInArrow(_merged, "fp long, n long")
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(rid, doc_id, keep_id, group_size, kept, text_sha256) of every row of ``docs``."""
+    """(rid, digest, doc_id, keep_id, group_size, kept, text_sha256) of every row of ``docs``."""
     rows = fingerprints(docs, doc_id, text).checkpoint()
-    again = sized(repeated(rows).select("fp"))
+    again = sized(repeated(rows, shards_for(docs.select(F.col(text)), SHARD)).select("fp"))
     # the bytes of every row that shares a fingerprint; equal when the least and the greatest are
     same = fingerprints(docs, doc_id, text, True).join(again, "fp").groupBy("fp", "sha").agg((F.min("body") == F.max("body")).alias("same"))
     groups = rows.join(again, "fp").groupBy("fp", "sha").agg(F.max(F.struct("doc_id", "rid")).alias("keep"), F.count(F.lit(1)).alias("n"))
@@ -179,6 +203,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     checked = F.when(F.col("same") == F.lit(False), F.raise_error(F.lit("two texts share a SHA-256"))).otherwise(F.coalesce("n", F.lit(1)))
     return found.select(
         "rid",
+        "digest",
         "doc_id",
         F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("keep.doc_id")).alias("keep_id"),
         checked.cast("long").alias("group_size"),
@@ -188,12 +213,15 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, all columns; ``docs`` must give the same rows in the same order each time, as a file scan does."""
-    return without(docs, dedup(docs, doc_id, text).filter(~F.col("kept")).select("rid"))
+    """The rows of ``docs`` that stay, all columns.
+
+    ``docs`` must give the same rows in the same order each time, as a file scan does, and is found out if it does not.
+    """
+    return without(docs, dedup(docs, doc_id, text).filter(~F.col("kept")).select("rid", "digest"), text)
 
 
 def op7_exact_dedup(spark, sf_dir: str) -> DataFrame:
-    return dedup(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("rid")
+    return dedup(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("rid", "digest")
 
 
 ORACLE = r"""

@@ -5,10 +5,17 @@ aggregated (partial aggregation, so a host with a third of all rows is one row
 per task), the failure rate is shrunk towards an empirical beta prior, and the
 host's verdict is joined back.
 
+The prior is fitted by moments: its mean is the corpus rate m, and its variance what
+the hosts' rates vary by beyond the noise of counting.  A host fails when its shrunk
+rate is above the prior's mean by ``SIGMAS`` of the prior's deviations, or above one
+half (above m, if that is more) where the prior is so wide that this comes first: few
+hosts then tell what is usual, and a host most of whose documents fail is no source.
+
 Defined results: a null text counts as having no words; a null host is a host of
-its own; repeated rows are judged one by one; an empty table gives an empty
-result.  Columns of the input whose names clash with a result column are
-replaced, others are kept.
+its own; repeated rows are judged one by one; a rate that equals the bar passes; a
+corpus of one host has nothing to compare and its host passes unless most of it fails;
+texts are read whole; an empty table gives an empty result.  Columns of the input whose
+names clash with a result column are replaced, all others are kept.
 """
 
 from __future__ import annotations
@@ -16,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import without
+from strata.llm.common import digest, free, without
 
 #: fixed values: the contract's white space and symbols
 WHITE = " \t\n\x0b\x0c\r"
@@ -24,8 +31,8 @@ SYMBOLS = "#*$%&|<>"
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-#: a host goes when its shrunk failure rate is above this
-MAX_HOST_RATE = 0.9
+#: a host goes when its shrunk failure rate is so many of the prior's deviations above the prior's mean
+SIGMAS = 3.0
 #: prior weight, in documents, is kept within these bounds
 PRIOR_WEIGHT = (2.0, 1000.0)
 
@@ -77,50 +84,54 @@ def count_rules(docs: DataFrame, text: str = "text") -> DataFrame:
             _repeat_words(ws).alias("n_repeat_words"),
         ),
     )
-    out = docs.drop(*[c for c in docs.columns if c in (*COUNTS, "base_failed", "kept", "_c")])
-    out = out.withColumn("_c", counts)
+    kept, c = [x for x in docs.columns if x.lower() not in (*COUNTS, "base_failed", "kept")], free(docs, "_c")
+    out = docs.withColumn(c, counts)
     out = out.select(
-        *[c for c in out.columns if c != "_c"],
-        F.col("_c.n_words").alias("n_words"),
-        F.col("_c.word_chars").alias("word_chars"),
+        *[F.col(f"`{x}`") for x in kept],
+        F.col(f"{c}.n_words").alias("n_words"),
+        F.col(f"{c}.word_chars").alias("word_chars"),
         (F.length(body) - F.length(F.translate(body, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-        F.col("_c.n_repeat_words").alias("n_repeat_words"),
+        F.col(f"{c}.n_repeat_words").alias("n_repeat_words"),
     )
     return out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
 
 
-def host_verdicts(judged: DataFrame, host: str = "source", max_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """One row per host: n, failed, shrunk rate and ``host_failed``.
+def host_verdicts(judged: DataFrame, host: str = "source", sigmas: float = SIGMAS) -> DataFrame:
+    """One row per host: n, failed, shrunk rate, the bar and ``host_failed``.
 
-    The beta prior is fitted by moments on the hosts' own rates, weighted by their
-    documents; hosts with few documents are drawn to the corpus rate.
+    Hosts with few documents are drawn to the corpus rate.
     """
-    hosts = judged.groupBy(F.col(host).alias("host")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("base_failed").cast("long")).alias("failed"))
+    hosts = judged.groupBy(F.col(f"`{host}`").alias("host")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("base_failed").cast("long")).alias("failed"))
     rate = F.col("failed") / F.col("n")
-    moments = hosts.agg((F.sum("failed") / F.sum("n")).alias("m"), (F.sum(F.col("n") * rate * rate) / F.sum("n")).alias("m2"))
-    spread = F.greatest(F.col("m2") - F.col("m") * F.col("m"), F.lit(1e-12))
-    weight = F.least(F.greatest(F.col("m") * (1 - F.col("m")) / spread - 1, F.lit(PRIOR_WEIGHT[0])), F.lit(PRIOR_WEIGHT[1]))
-    prior = moments.select(F.struct(F.col("m"), weight.alias("weight")).alias("prior")).scalar()
+    m, total = F.col("m"), F.col("total")
+    moments = hosts.agg((F.sum("failed") / F.sum("n")).alias("m"), (F.sum(F.col("n") * rate * rate) / F.sum("n")).alias("m2"), F.count(F.lit(1)).alias("hosts"), F.sum("n").alias("total"))
+    noise = m * (1 - m) * (F.col("hosts") - 1) / total
+    spread = F.greatest(F.col("m2") - m * m - noise, F.lit(1e-12))
+    moments = moments.withColumn("weight", F.least(F.greatest(m * (1 - m) / spread - 1, F.lit(PRIOR_WEIGHT[0])), F.lit(PRIOR_WEIGHT[1])))
+    bar = F.least(m + sigmas * F.sqrt(m * (1 - m) / (F.col("weight") + 1)), F.greatest(m, F.lit(0.5)))
+    prior = moments.select(F.struct(m, F.col("weight"), bar.alias("bar")).alias("prior")).scalar()
     shrunk = hosts.withColumn("prior", prior).withColumn("rate", (F.col("failed") + F.col("prior.m") * F.col("prior.weight")) / (F.col("n") + F.col("prior.weight")))
-    return shrunk.select("host", "n", "failed", "rate", (F.col("rate") > max_rate).alias("host_failed"))
+    return shrunk.select("host", "n", "failed", "rate", F.col("prior.bar").alias("bar"), (F.col("rate") > F.col("prior.bar")).alias("host_failed"))
 
 
-def with_verdicts(judged: DataFrame, host: str = "source", max_rate: float = MAX_HOST_RATE) -> DataFrame:
-    hosts = host_verdicts(judged, host, max_rate).select(F.col("host").alias("_host"), "host_failed")
-    joined = judged.join(hosts, F.col(host).eqNullSafe(F.col("_host")), "left")
-    return joined.withColumn("kept", ~(F.col("base_failed") | F.coalesce(F.col("host_failed"), F.lit(False)))).drop("_host", "host_failed")
+def with_verdicts(judged: DataFrame, host: str = "source", sigmas: float = SIGMAS) -> DataFrame:
+    """Add ``kept``, false where a document or its host failed."""
+    name, verdict = free(judged, "_host"), free(judged, "_host_failed")
+    hosts = host_verdicts(judged, host, sigmas).select(F.col("host").alias(name), F.col("host_failed").alias(verdict))
+    joined = judged.join(hosts, F.col(f"`{host}`").eqNullSafe(F.col(name)), "left")
+    return joined.withColumn("kept", ~(F.col("base_failed") | F.coalesce(F.col(verdict), F.lit(False)))).drop(name, verdict)
 
 
-def keep_good(docs: DataFrame, text: str = "text", host: str = "source", max_rate: float = MAX_HOST_RATE) -> DataFrame:
+def keep_good(docs: DataFrame, text: str = "text", host: str = "source", sigmas: float = SIGMAS) -> DataFrame:
     """The rows of ``docs`` that are kept, all columns.
 
     The rules run once, over narrow rows; ``docs`` must give the same rows in the same
-    order each time, as a file scan does.
+    order each time, as a file scan does, and is found out if it does not.
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("_rid"), F.col(host).alias("source"), F.col(text).alias("text"))
-    judged = count_rules(rows).select("_rid", "source", "base_failed").checkpoint()
-    return without(docs, with_verdicts(judged, "source", max_rate).filter(~F.col("kept")).select("_rid"))
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), digest(F.col(f"`{text}`")).alias("digest"), F.col(f"`{host}`").alias("source"), F.col(f"`{text}`").alias("text"))
+    judged = count_rules(rows).select("rid", "digest", "source", "base_failed").checkpoint()
+    return without(docs, with_verdicts(judged, "source", sigmas).filter(~F.col("kept")).select("rid", "digest"), text)
 
 
 def op10_quality_rules(spark, sf_dir: str) -> DataFrame:
@@ -142,9 +153,9 @@ c AS (SELECT w.rid, doc_id, source, len(ws)::BIGINT AS n_words, length(regexp_re
   FROM w LEFT JOIN dup USING (rid) LEFT JOIN cov USING (rid)),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c),
 h AS (SELECT source, count(*) AS n, sum(base_failed::INT) AS f FROM b GROUP BY source),
-m AS (SELECT sum(f) / sum(n) AS m, sum(n * (f / n) * (f / n)) / sum(n) AS m2 FROM h),
-p AS (SELECT m, least(greatest(m * (1 - m) / greatest(m2 - m * m, 1e-12) - 1, 2.0), 1000.0) AS k FROM m),
-v AS (SELECT source, (f + m * k) / (n + k) > 0.9 AS host_failed FROM h, p)
+m AS (SELECT sum(f) / sum(n) AS m, sum(n * (f / n) * (f / n)) / sum(n) AS m2, count(*) AS hosts, sum(n) AS total FROM h),
+p AS (SELECT m, least(greatest(m * (1 - m) / greatest(m2 - m * m - m * (1 - m) * (hosts - 1) / total, 1e-12) - 1, 2.0), 1000.0) AS k FROM m),
+v AS (SELECT source, (f + m * k) / (n + k) > least(m + 3 * sqrt(m * (1 - m) / (k + 1)), greatest(m, 0.5)) AS host_failed FROM h, p)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed OR coalesce(host_failed, false)) AS kept
 FROM b LEFT JOIN v ON b.source IS NOT DISTINCT FROM v.source
 """

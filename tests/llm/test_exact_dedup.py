@@ -32,10 +32,28 @@ def test_repeated_and_null_ids_keep_one_row(spark):
 
 
 def test_shuffled_when_too_many_to_broadcast(spark, monkeypatch):
-    monkeypatch.setattr("strata.llm.common.BROADCAST_ROWS", 0)
+    def joins(df):
+        return df._jdf.queryExecution().optimizedPlan().toString()
+
+    assert "broadcast" in joins(E.dedup(documents(spark, TEXTS)))
+    monkeypatch.setattr("strata.llm.common.BROADCAST_BYTES", 0)
+    assert "broadcast" not in joins(E.dedup(documents(spark, TEXTS)))
     assert E.dedup(documents(spark, TEXTS)).filter("kept").count() == len({(t or "").translate(LOWER) for t in TEXTS})
 
 
+def test_input_in_another_order_is_an_error(spark):
+    import pytest
+    from pyspark.sql import functions as F
+
+    from strata.llm.common import digest, without
+
+    docs = documents(spark, ["a", "b", "c"], slices=1)
+    gone = docs.select(F.monotonically_increasing_id().alias("rid"), digest(F.col("text")).alias("digest")).filter("rid = 1")
+    assert [r.text for r in without(docs, gone).collect()] == ["a", "c"]
+    with pytest.raises(Exception, match="same rows twice"):
+        without(docs.orderBy(F.desc("doc_id")).coalesce(1).checkpoint(), gone.withColumn("digest", F.lit(5).cast("long"))).collect()
+
+
 def test_empty_table(spark):
     assert E.dedup(documents(spark, [])).count() == 0
 

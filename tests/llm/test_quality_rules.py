@@ -39,6 +39,27 @@ def test_hosts_that_fail_are_rejected_whole(spark):
     assert {r.doc_id for r in Q.with_verdicts(judged).filter("kept").collect()} == {*range(40), 81}
 
 
+def test_the_bar_follows_the_prior(spark):
+    """Twenty even hosts make a narrow prior; one that fails three times as often is rejected, documents that pass included."""
+    texts, sources = [], []
+    for h in range(21):
+        bad = 30 if h == 20 else 9 + h % 3
+        texts += ["short"] * bad + [PROSE] * (100 - bad)
+        sources += [f"h{h}"] * 100
+    judged = Q.count_rules(documents(spark, texts, sources=sources)).checkpoint()
+    hosts = {r.host: r for r in Q.host_verdicts(judged).collect()}
+    assert [h for h, r in hosts.items() if r.host_failed] == ["h20"] and 0.1 < hosts["h0"].bar < hosts["h20"].rate < 0.3
+    kept = Q.with_verdicts(judged).filter("kept")
+    assert kept.filter("source = 'h20'").count() == 0 and kept.count() == 20 * 100 - sum(9 + h % 3 for h in range(20))
+
+
+def test_clashing_columns_are_kept(spark):
+    docs = documents(spark, TEXTS[:3]).selectExpr("*", "1 as _c", "2 as _host", "3 as host_failed", "4 as host", "5 as _host_failed", "6 as n_words", "7 as rate", "8 as _told")
+    got = Q.with_verdicts(Q.count_rules(docs))
+    assert [got.first()[c] for c in ("_c", "_host", "host_failed", "host", "_host_failed", "rate")] == [1, 2, 3, 4, 5, 7] and got.columns.count("n_words") == 1
+    assert Q.keep_good(docs.withColumn("text", __import__("pyspark.sql.functions", fromlist=["lit"]).lit(PROSE))).columns == docs.columns
+
+
 def test_all_columns_stay_and_no_rows(spark):
     docs = documents(spark, TEXTS).withColumnRenamed("lang", "_rid").withColumnRenamed("n_chars", "base_failed")
     assert Q.keep_good(docs).columns == docs.columns
