@@ -1,8 +1,8 @@
 """Connected components of an edge table by alternating large and small stars.
 
 Each star takes the least neighbour of a node by partial aggregation and joins it
-back, so a node with very many neighbours is never gathered; adaptive execution
-splits such a node in the joins.
+back.  A node with very many neighbours is never gathered: its edges are dealt over
+``SALTS`` tasks by their other end, and its least neighbour is sent to each of them.
 """
 
 from __future__ import annotations
@@ -10,16 +10,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+SALTS = 8
+
+
+def _beside(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """``edges`` with the least neighbour of their ``u``."""
+    salted = edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+    return salted.join(least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["u", "salt"]).drop("salt")
+
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return _beside(both, least).filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    joined = edges.join(least, "u")
+    joined = _beside(edges, least)
     moved = joined.filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 

@@ -3,39 +3,47 @@
 Texts are sets of five-word shingles (words between white space, A-Z lower-cased; a
 text of one to four words is one shingle).  Rows with the same set are one class and
 only a representative goes on.  Bands and rows are chosen for a target recall at the
-threshold; representatives meet in the buckets of their band hashes, where each is
-linked to the bucket's least member.  The connected parts of these links hold every
-candidate pair; the texts of a part come together once and all of its pairs are
-verified on the full sets, as a product of incidence matrices in which shingles with
-the same postings are one weighted column.  A part of more than ``PART`` texts is cut
-into blocks, and each pair of blocks verified by itself, so no task holds more than
-two blocks; no pair is left out and none is written out as a row.
+threshold; a pair of representatives is a candidate if it shares a band's hash, and
+every candidate is verified on the full sets by one integer comparison.
+
+Candidates meet without being written out.  Each member of a bucket is linked to the
+bucket's least one, and the connected parts of these links hold every candidate, so the
+texts of a part come together once.  Parts chain: one of more than ``PART`` shingles is
+dealt by its buckets instead, where a pair is counted in the first bucket it shares, and
+a bucket beyond that size by pairs of its blocks.  So a text is copied at most once a
+band, or once a block of its own bucket, and no task holds more than two blocks.  Shared
+shingles are counted over postings, or as a product of incidence matrices in which
+shingles with the same postings are one weighted column; both give the same integers.
 
 Defined results: a null text, or one without words, has no shingles, no links and a
-class of its own; repeated rows are links of similarity one; a null id is the class's
-id only when all its ids are null; an empty table gives an empty result; other
-columns of the input are not read.
+class of its own; repeated rows are links of similarity one; a pair exactly at the
+threshold is a link; a null id is the class's id only when all its ids are null; texts
+are read whole; an empty table gives an empty result; other columns of the input are not
+read, so their names cannot clash.
 """
 
 from __future__ import annotations
 
 import math
+from fractions import Fraction
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import LOWER, blocks, mix, prefix_sums, shuffle_partitions, sized, span_hashes, string_buffer, trimmed, without, words
+from strata.llm.common import LOWER, blocks, digest, mix, prefix_sums, shards_for, sized, span_hashes, string_buffer, trimmed, without, words
 from strata.llm.components import components
 
 WORDS = 5
 THRESHOLD = 0.8
 RECALL = 0.9999
 ROWS = 6
-#: texts of a part that are verified together; larger parts are cut into blocks of half as many
-PART = 2048
-#: parts of up to so many texts are verified over their postings, all of a task at once
+#: shingles that are verified together, a text counting as ``LEAST`` at least; larger parts go by their buckets and blocks
+PART, LEAST = 1 << 20, 512
+#: up to so many texts' shared shingles are counted over postings, those of more as matrices
 SMALL = 48
+#: bytes of input whose small parts meet in one task
+SHARD = 16 << 20
 
 
 def bands_for(threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS) -> int:
@@ -110,7 +118,7 @@ def _signed(texts_at: int, bands: int, rows: int, n: int):
                 flat = pa.array(signs.view(np.int64).ravel())
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(c).slice(start, stop - start) for c in range(texts_at)), pa.array(keys[0].view(np.int64)), pa.array(keys[1].view(np.int64)), pa.array(sizes), pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, bands, dtype=np.int32)), flat)],
-                    ["rid", "doc_id", "k1", "k2", "n", "bands"],
+                    ["rid", "doc_id", "digest", "k1", "k2", "n", "bands"],
                 )
 
     return trimmed(run)
@@ -138,7 +146,7 @@ def _pairs_of_postings(part: np.ndarray, gram: np.ndarray, row: np.ndarray, m: i
 
 
 def _shared_matrix(gram: np.ndarray, row: np.ndarray, m: int) -> np.ndarray:
-    """m x m numbers of shared shingles; shingles with the same rows count as one column with a weight."""
+    """m x m exact numbers of shared shingles; shingles with the same rows count as one column with a weight."""
     order = np.argsort(gram, kind="stable")
     gram, row = gram[order], row[order]
     starts = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
@@ -148,14 +156,15 @@ def _shared_matrix(gram: np.ndarray, row: np.ndarray, m: int) -> np.ndarray:
     _, pick, weight = np.unique(pattern, return_index=True, return_counts=True)
     many = lengths[pick] > 1
     pick, weight = pick[many], weight[many]
-    out = np.zeros((m, m), np.float32)
+    kind = np.float32 if len(gram) < 1 << 24 else np.float64  # integers below are exact
+    out = np.zeros((m, m), kind)
     for at in range(0, len(pick), 2048):
         some, w = pick[at : at + 2048], weight[at : at + 2048]
         column = np.repeat(np.arange(len(some)), lengths[some])
         place = np.repeat(starts[some], lengths[some]) + np.arange(len(column)) - np.repeat(np.concatenate([[0], np.cumsum(lengths[some])[:-1]]), lengths[some])
-        x = np.zeros((m, len(some)), np.float32)
+        x = np.zeros((m, len(some)), kind)
         x[row[place], column] = 1
-        out += (x * w.astype(np.float32)) @ x.T
+        out += (x * w.astype(kind)) @ x.T
     return out
 
 
@@ -177,12 +186,24 @@ def _roots(m: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def linked(a: np.ndarray, b: np.ndarray, shared: np.ndarray, sizes: np.ndarray, threshold: float) -> np.ndarray:
-    union = sizes[a] + sizes[b] - shared
-    return shared >= threshold * union - 1e-9
+    """Whether shared / union >= threshold, in integers."""
+    ratio = Fraction(threshold).limit_denominator(10_000)
+    shared = shared.astype(np.int64)
+    return shared * ratio.denominator >= (sizes[a] + sizes[b] - shared) * ratio.numerator
+
+
+def candidates(bands: np.ndarray, a: np.ndarray, b: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Pairs whose first common band is the one of their unit; any common band will do where that is -1."""
+    out = np.zeros(len(a), bool)
+    for at in range(0, len(a), 1 << 16):
+        some = slice(at, at + (1 << 16))
+        same = bands[a[some]] == bands[b[some]]
+        out[some] = same.any(axis=1) & ((first[some] < 0) | (same.argmax(axis=1) == first[some]))
+    return out
 
 
-def _verify(threshold: float, n: int):
-    """Verify all pairs of the parts of one task: links and least linked row of each text."""
+def _verify(threshold: float, n: int, width: int):
+    """Verify the candidates of the units of one task: links and least linked row of each text."""
 
     def run(table):
         import pyarrow as pa
@@ -194,40 +215,58 @@ def _verify(threshold: float, n: int):
         row = np.repeat(np.arange(m), sizes)
         rid, members = table.column("rid").to_numpy(), table.column("members").to_numpy()
         own, other = table.column("own").to_numpy(), table.column("other").to_numpy()  # the text's block, the block it meets
-        keys = np.stack([table.column(c).to_numpy() for c in ("part", "low", "high")])
-        _, part = np.unique(keys, axis=1, return_inverse=True)
-        part = part.ravel()
-        count = np.bincount(part)
-        edges_a, edges_b = [], []
-        small = count[part] <= SMALL
+        band = table.column("place").to_numpy()
+        bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(m, width)
+        keys = np.stack([table.column(c).to_numpy() for c in ("unit", "place", "low", "high")])
+        _, unit = np.unique(keys, axis=1, return_inverse=True)
+        unit = unit.ravel()
+        count = np.bincount(unit)
+        small = count[unit] <= SMALL
         at = small[row]
-        a, b, shared = _pairs_of_postings(part[row[at]], grams[at], row[at], m)
+        a, b, shared = _pairs_of_postings(unit[row[at]], grams[at], row[at], m)
         hit = linked(a, b, shared, sizes, threshold)
-        edges_a.append(a[hit])
-        edges_b.append(b[hit])
-        for p in np.flatnonzero(count > SMALL):
-            rows = np.flatnonzero(part == p)
-            place = np.zeros(m, np.int64)
-            place[rows] = np.arange(len(rows))
-            at = np.isin(row, rows)
-            shared = _shared_matrix(grams[at], place[row[at]], len(rows))
-            size = sizes[rows].astype(np.float32)
-            hit = shared >= threshold * (size[:, None] + size[None, :] - shared) - 1e-4
-            a, b = np.nonzero(np.triu(hit, 1))
-            edges_a.append(rows[a])
-            edges_b.append(rows[b])
-        a, b = np.concatenate(edges_a), np.concatenate(edges_b)
-        # blocks of one part meet in several tasks: pairs within a block count where the block meets itself
-        twice = (own[a] == own[b]) & (own[a] != other[a])
-        a, b = a[~twice], b[~twice]
+        found = [(a[hit], b[hit])]
+        order = np.argsort(unit, kind="stable")
+        starts = np.concatenate([[0], np.cumsum(count)])
+        for u in np.flatnonzero(count > SMALL):
+            rows = np.sort(order[starts[u] : starts[u + 1]])
+            gram = np.concatenate([grams[offsets[r] : offsets[r + 1]] for r in rows])
+            shared = _shared_matrix(gram, np.repeat(np.arange(len(rows)), sizes[rows]), len(rows))
+            a, b = np.nonzero(np.triu(linked(rows[:, None], rows[None, :], shared, sizes, threshold), 1))
+            found.append((rows[a], rows[b]))
+        a, b = (np.concatenate([x[k] for x in found]) for k in range(2))
+        # blocks of one unit meet in several tasks: pairs within a block count where the block meets itself
+        once = ~((own[a] == own[b]) & (own[a] != other[a]))
+        a, b = a[once], b[once]
+        hit = candidates(bands, a, b, band[a])
+        a, b = a[hit], b[hit]
         links = np.bincount(a, weights=members[b], minlength=m) + np.bincount(b, weights=members[a], minlength=m)
         return pa.table({"rid": pa.array(rid), "links": pa.array(links.astype(np.int64)), "root": pa.array(rid[_roots(m, a, b)])})
 
     return trimmed(run)
 
 
+def dealt(parts: DataFrame, classes: DataFrame, reps: DataFrame, part: int) -> DataFrame:
+    """(rid, unit, place, members, bands, own, other, low, high, size): where each candidate text is verified.
+
+    ``place`` is -1 in a connected part and the band's number in a bucket.
+    """
+    nodes = parts.join(classes.select(F.col("rep").alias("node"), "members", "n", "bands", "told"), "node").select(F.col("node").alias("rid"), "component", "members", "bands", "told", F.greatest("n", F.lit(LEAST)).alias("weight"))
+    sizes = nodes.groupBy("component").agg(F.sum("weight").alias("size"))
+    nodes = nodes.join(sizes, "component").checkpoint()
+    whole = nodes.filter(F.col("size") <= part).select("rid", F.col("component").alias("unit"), F.lit(-1).alias("place"), "members", "bands", "told", "size")
+    many = nodes.filter(F.col("size") > part).select("rid", "members", "bands", "told", "weight", F.posexplode("bands").alias("place", "unit"))
+    buckets = many.groupBy("unit", "place").agg(F.sum("weight").alias("size"), F.count(F.lit(1)).alias("texts")).filter("texts > 1").drop("texts")
+    split = many.join(buckets, ["unit", "place"]).select("rid", "unit", "place", "members", "bands", "told", "size")
+    out = whole.unionByName(split)
+    blocks_ = F.when(F.col("size") <= part, 1).otherwise(F.ceil(2 * F.col("size") / part)).cast("int")
+    out = out.withColumn("blocks", blocks_).withColumn("own", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
+    out = out.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return out.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")}).drop("blocks")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS, n: int = WORDS, part: int = PART) -> DataFrame:
-    """(rid, doc_id, class_id, n_links, copy_id, n_shingles, component) of every row.
+    """(rid, digest, doc_id, class_id, n_links, copy_id, n_shingles, component) of every row.
 
     ``class_id`` is the least doc_id among the rows connected by links, ``copy_id``
     among the rows with the same shingle set; ``component`` is the least rid of the
@@ -237,43 +276,39 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     bands = bands_for(threshold, recall, rows)
     kind = docs.select(F.col(doc_id)).schema[0].dataType.simpleString()
-    source = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    signed = source.mapInArrow(_signed(2, bands, rows, n), f"rid long, doc_id {kind}, k1 long, k2 long, n long, bands array<long>").checkpoint()
+    source = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(doc_id).alias("doc_id"), digest(F.col(text)).alias("digest"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    signed = source.mapInArrow(_signed(3, bands, rows, n), f"rid long, doc_id {kind}, digest long, k1 long, k2 long, n long, bands array<long>").checkpoint()
     some = signed.filter("n > 0")
-    classes = some.groupBy("k1", "k2", "n").agg(F.min("rid").alias("rep"), F.count(F.lit(1)).alias("members"), F.min("doc_id").alias("copy_id")).checkpoint()
+    # a representative is the row with its class's least rid; rows of one set have the same bands
+    classes = some.groupBy("k1", "k2", "n").agg(F.min("rid").alias("rep"), F.count(F.lit(1)).alias("members"), F.min("doc_id").alias("copy_id"), F.min_by("bands", "rid").alias("bands"), F.min_by("digest", "rid").alias("told")).checkpoint()
 
-    # a representative is the row with its class's least rid
-    reps = some.join(classes.select("k1", "k2", "n", "rep"), ["k1", "k2", "n"]).filter(F.col("rid") == F.col("rep")).select("rid", F.explode("bands").alias("band"))
-    buckets = reps.groupBy("band").agg(F.min("rid").alias("least"), F.max("rid").alias("most")).filter("least < most")
-    edges = reps.join(buckets.select("band", "least"), "band").filter("rid <> least").select(F.col("rid").alias("u"), F.col("least").alias("v"))
+    reps = classes.select(F.col("rep").alias("rid"), F.posexplode("bands").alias("place", "band"))
+    buckets = reps.groupBy("band", "place").agg(F.min("rid").alias("least"), F.max("rid").alias("most")).filter("least < most")
+    edges = reps.join(buckets.select("band", "place", "least"), ["band", "place"]).filter("rid <> least").select(F.col("rid").alias("u"), F.col("least").alias("v"))
     parts = components(edges).checkpoint()
 
-    sizes = parts.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    half = max(1, part // 2)
-    blocks_ = F.when(F.col("size") <= part, 1).otherwise(F.ceil(F.col("size") / half)).cast("int")
-    placed = parts.join(sizes, "component").join(classes.select(F.col("rep").alias("node"), "members"), "node").select(F.col("node").alias("rid"), F.col("component").alias("part"), "members", "size", blocks_.alias("blocks"))
-    placed = placed.withColumn("own", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
-    placed = sized(placed)
-    met = source.join(placed, "rid").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")})
-    tasks = max(1, shuffle_partitions(docs))
-    met = met.select("rid", "part", "members", "own", "other", "low", "high", "text", F.when(F.col("size") > SMALL, F.xxhash64("part", "low", "high")).otherwise(F.pmod(F.xxhash64("part"), F.lit(4 * tasks))).alias("task"))
-    verified = met.groupBy("task").applyInArrow(_verify(threshold, n), "rid long, links long, root long").checkpoint()
+    placed = sized(dealt(parts, classes, reps, part))
+    tasks = shards_for(docs.select(F.col(text)), SHARD)
+    met = source.select("rid", "digest", "text").join(placed, "rid").filter(F.when(F.col("digest") == F.col("told"), True).otherwise(F.raise_error(F.lit("the input did not give the same rows twice; write it to a table first")).cast("boolean")))
+    # units of some size have a task of their own, small ones share
+    met = met.withColumn("task", F.when(F.col("size") > LEAST * SMALL, F.xxhash64("unit", "place", "low", "high")).otherwise(F.pmod(F.xxhash64("unit"), F.lit(tasks))))
+    met = met.select("rid", "unit", "place", "members", "bands", "own", "other", "low", "high", "text", "task")
+    verified = met.groupBy("task").applyInArrow(_verify(threshold, n, bands), "rid long, links long, root long").checkpoint()
 
     links = verified.groupBy("rid").agg(F.sum("links").alias("links"))
     joined = components(verified.select(F.col("rid").alias("u"), F.col("root").alias("v")))
     groups = classes.join(links.withColumnRenamed("rid", "rep"), "rep", "left").join(joined.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     least = groups.groupBy("component").agg(F.min("copy_id").alias("class_id"))
     groups = groups.join(least, "component").select("k1", "k2", "n", "component", "class_id", "copy_id", (F.col("members") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    found = signed.select("rid", "doc_id", "k1", "k2", "n").join(groups, ["k1", "k2", "n"], "left")
-    return found.select("rid", "doc_id", F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.when(F.col("n") > 0, F.col("copy_id")).otherwise(F.col("doc_id")).alias("copy_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "rid").alias("component"))
+    found = signed.select("rid", "digest", "doc_id", "k1", "k2", "n").join(groups, ["k1", "k2", "n"], "left")
+    return found.select("rid", "digest", "doc_id", F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.when(F.col("n") > 0, F.col("copy_id")).otherwise(F.col("doc_id")).alias("copy_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "rid").alias("component"))
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` without all but the first row of each class, all columns."""
     found = near_duplicates(docs, doc_id, text, **options)
-    return without(docs, found.filter("rid <> component").select("rid"))
+    return without(docs, found.filter("rid <> component").select("rid", "digest"), text)
 
 
 def op2_ngram_join(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("rid")
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("rid", "digest")

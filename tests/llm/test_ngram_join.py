@@ -36,7 +36,7 @@ def brute(some):
     return {i: (label[i], links[i]) for i in range(len(some))}
 
 
-@pytest.mark.parametrize("options", [{}, {"part": 4}])
+@pytest.mark.parametrize("options", [{}, {"part": 4 * N.LEAST}, {"part": N.LEAST}])
 def test_equals_all_pairs(spark, options):
     some = texts()
     got = N.near_duplicates(documents(spark, some), **options).collect()
@@ -49,6 +49,28 @@ def test_large_parts_use_the_matrix(spark, monkeypatch):
     assert {r.doc_id: (r.class_id, r.n_links) for r in N.near_duplicates(documents(spark, some)).collect()} == brute(some)
 
 
+@pytest.mark.parametrize("small", [48, 1])
+def test_a_pair_at_the_threshold_is_a_link_on_both_ways(spark, monkeypatch, small):
+    """36 + 4 shingles against 36 + 5: 36 of 45 are shared, exactly four fifths."""
+    monkeypatch.setattr(N, "SMALL", small)
+    w = [f"w{i}" for i in range(60)]
+    a, b = w[:40] + ["x1", "x2", "x3", "x4"], w[:40] + [f"y{i}" for i in range(5)]
+    assert (len(shingles(" ".join(a))), len(shingles(" ".join(b))), len(shingles(" ".join(a)) & shingles(" ".join(b)))) == (40, 41, 36)
+    got = N.near_duplicates(documents(spark, [" ".join(a), " ".join(b), " ".join(w[:40] + [f"z{i}" for i in range(6)])]), recall=1 - 1e-12).collect()
+    assert {r.doc_id: r.n_links for r in got} == {0: 1, 1: 1, 2: 0}
+
+
+def test_recall_on_a_real_table(spark):
+    """Every pair of sf0.001 at or above the threshold, by postings of all shingles."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    some = {r.doc_id: r.text for r in docs.collect()}
+    ids = sorted(some)
+    want = brute([some[i] for i in ids])
+    got = {r.doc_id: r.n_links for r in N.near_duplicates(docs).collect()}
+    found, there = sum(got.values()), sum(n for _, n in want.values())
+    assert there and found / there >= 0.999 and all(got[i] <= want[k][1] for k, i in enumerate(ids))
+
+
 def test_keeps_one_of_each_class_with_all_columns(spark):
     some = texts()
     docs = documents(spark, some).withColumnRenamed("lang", "_rid")
