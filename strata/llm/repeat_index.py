@@ -7,26 +7,34 @@ One index over a whole corpus cannot be dealt out, so the texts are aligned firs
    hashes of its ``gram``-byte grams.  Equal strings have the same anchors, so all
    occurrences of a repeated string meet in their anchor's group, with what surrounds
    it (a context: every ``match``-byte string around the anchor).
-2. Contexts are counted before anything is sent.  A gram seen once ends there; a
-   context seen twice repeats whole.
-3. For the rest, contexts of one anchor are aligned strings, and their suffixes are
-   kept in the order of a positional Burrows-Wheeler transform that is extended to the
-   left byte by byte.  Columns are stored at full length; within a run of equal bytes
-   neighbours stay neighbours and their common length grows by one, so lengths are
-   taken anew (a range minimum) only at run heads.  While the
-   columns stream by, a context's matching statistic is the greater common length
-   with its neighbours; where it reaches ``match``, a long match is marked.
-
-The bytes marked around an anchor are one range, so an answer is two numbers.  A
-group of more than ``HOT`` contexts is not indexed in one place: its strings are
-counted one by one over all shards, after the same counting in each chunk.
-
-Texts travel in compressed chunks of bounded size, n-gram hashes as sorted gaps.
+2. Contexts are counted before anything is sent, by a 128-bit digest of their bytes.  A
+   gram seen once ends there; a context seen twice repeats whole; of the contexts of a
+   gram that has several, one copy each goes on.
+3. These contexts of one anchor are aligned strings.  Their suffixes are kept in the order
+   of a positional Burrows-Wheeler transform that is extended to the left byte by byte.
+   It is stored by runs: a column is, for each run of equal bytes, its head, its byte, where
+   the run goes in the next column, and, sampled at the run's ends, the common lengths that
+   its first and last suffix have with their new neighbours.  Inside a run neighbours stay
+   neighbours, so nothing else is stored, and repeats are few runs however often they occur.
+4. Matching statistics stream over the runs: each context starts at its place in the first
+   column and is mapped from run to run, its common lengths with both neighbours growing by
+   one inside a run and taken from the samples at its ends.  Where one reaches ``match``, a
+   long match is marked.
+
+The bytes marked around an anchor are one range, so an answer is two numbers.  An anchor
+with more than ``GROUP`` contexts is split by longer grams: the strings around it are dealt
+by where they begin, into 2, 4, ... ranges, and those of a range have a longer part in
+common, by which they are grouped and indexed in the same way; in the end a group is the
+occurrences of one string.  Rows that are equal within a chunk are sent once.
+
+Texts travel in compressed chunks of bounded size, hashes as sorted gaps.  Shards follow
+the input's bytes, so that a task's part does not grow with the corpus.
 
 Defined results: a null text is empty; texts under ``match`` bytes keep everything;
 repeated rows are matches of each other; overlapping matches count; ids may be null or
-repeated, as rows are told apart by their place in their chunk; an empty table gives
-an empty result; other columns of the input are not read.
+repeated, as rows are told apart by their place in their chunk; texts are read whole, one
+longer than a chunk being a chunk; an empty table gives an empty result; other columns of
+the input are carried in ``row``, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -37,13 +45,18 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import blocks, bounds, chunk_id, chunks, mix, prefix_sums, shuffle_partitions, span_hashes, string_buffer, trimmed
+from strata.llm.common import blocks, bounds, chunk_id, chunks, mix, prefix_sums, shards_for, span_hashes, string_buffer, trimmed
 
 MATCH = 200
 GRAM = 64
-#: contexts of one anchor that are indexed together
-HOT = 4096
-CHUNK = 2 << 20
+#: contexts of one anchor that are indexed in one group; more are split by longer grams
+GROUP = 4096
+#: contexts in one index, whole groups
+BATCH = 1 << 14
+#: bytes of text in a chunk; bytes of input whose anchors meet in a shard
+CHUNK, SHARD = 2 << 20, 8 << 20
+#: ranges of a split double up to this level
+LEVELS = 8
 _SIDE = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -72,8 +85,13 @@ class Anchors:
         self.right = np.minimum(self.last - self.places, match)
         # an anchor's hash is a least one; mixed again, shards by hash range are even
         self.prints = mix(span_hashes(self.sums, self.places, self.places + gram) ^ _SIDE)
-        around = span_hashes(self.sums, self.places - self.left, self.places + self.right)
-        self.contexts = mix(around + self.left.astype(np.uint64) * _SIDE)
+
+    @property
+    def contexts(self) -> np.ndarray:
+        """Two columns: a 128-bit digest of what surrounds each anchor, and of where in it the anchor is."""
+        raw = self.data.tobytes()
+        made = [hashlib.blake2b(raw[p - left : p + right], digest_size=16, salt=left.to_bytes(2, "little")).digest() for p, left, right in zip(self.places.tolist(), self.left.tolist(), self.right.tolist())]
+        return np.frombuffer(b"".join(made), "<u8").reshape(-1, 2)
 
     def find(self) -> np.ndarray:
         n, width = len(self.data), self.match - self.gram + 1
@@ -101,62 +119,94 @@ class Anchors:
 
 
 class RunLengthIndex:
-    """Aligned contexts in the order of their suffixes, extended to the left column by column.
+    """Aligned contexts as a positional BWT stored by runs, extended to the left column by column.
 
     ``group`` must be sorted; rows are ``match - gram`` bytes, the gram, and what follows.
     """
 
     def __init__(self, group: np.ndarray, rows: np.ndarray, left: np.ndarray, right: np.ndarray, match: int, gram: int):
-        self.rows, self.left, self.match, self.width = rows, left, match, match - gram
+        self.match, self.width = match, match - gram
         n, tail = len(rows), rows[:, match - gram :]
         padded = np.zeros((n, -(-match // 8) * 8), np.uint8)
         padded[:, :match] = tail
         words = padded.view(">u8").astype(np.uint64)
         # where bytes are equal the shorter row comes first, so that its neighbours' common lengths are right
-        self.order = np.lexsort([right, *words.T[::-1], group])
-        self.group = group[self.order]
-        o = self.order
-        equal = tail[o[1:]] == tail[o[:-1]]
+        order = np.lexsort([right, *words.T[::-1], group])
+        group = group[order]
+        equal = tail[order[1:]] == tail[order[:-1]]
         common = np.where(equal.all(axis=1), match, equal.argmin(axis=1)) if n > 1 else np.zeros(0, np.int64)
-        common = np.minimum(common, np.minimum(right[o[1:]], right[o[:-1]]))
-        #: common length of each suffix with the one before it
-        self.lcp = np.concatenate([[0], np.where(self.group[1:] == self.group[:-1], common, 0)]).astype(np.int32) if n else np.zeros(0, np.int32)
-        self.runs = 0
-
-    def extend(self, column: int) -> None:
-        """Prepend a column: a stable sort by its bytes, lengths anew at run heads only."""
-        n = len(self.order)
-        byte = np.where(self.left[self.order] >= self.width - column, self.rows[self.order, column].astype(np.int32), np.int32(256))
-        key = self.group * 257 + byte
-        move = np.argsort(key, kind="stable")
-        key, lcp = key[move], self.lcp
-        new = np.zeros(n, np.int32)
-        same = np.zeros(n, bool)
-        same[1:] = (key[1:] == key[:-1]) & (byte[move][1:] < 256)
-        old, before = move[1:], move[:-1]
-        along = np.zeros(n, bool)
-        along[1:] = same[1:] & (old == before + 1)
-        new[along] = lcp[move[along]] + 1
-        heads = np.flatnonzero(same & ~along)
-        self.runs += int((~along).sum())
-        if len(heads):
-            cuts = np.stack([move[heads - 1] + 1, move[heads] + 1], axis=1).ravel()
-            new[heads] = np.minimum.reduceat(np.append(lcp, 0), cuts)[::2] + 1
-        self.order, self.lcp, self.group = self.order[move], new, self.group[move]
+        common = np.minimum(common, np.minimum(right[order[1:]], right[order[:-1]]))
+        #: where each context stands in the first column, and its common length with the one before it there
+        self.place = np.empty(n, np.int32)
+        self.place[order] = np.arange(n, dtype=np.int32)
+        self.first = np.zeros(n + 1, np.int16)
+        self.first[1:n] = np.where(group[1:] == group[:-1], common, 0) if n > 1 else 0
+        #: for each column the runs' heads, bytes, places in the next column, and sampled lengths before and after
+        self.columns = [self._extended(*state) for state in self._states(order, group, rows, left)]
+
+    def _states(self, order, group, rows, left):
+        """The only full columns there are: one at a time, while its runs are taken."""
+        lcp = self.first[:-1].copy()
+        for column in range(self.width - 1, -1, -1):
+            byte = np.where(left[order] >= self.width - column, rows[order, column].astype(np.int16), np.int16(256))
+            yield group, byte, lcp
+            starts, _, base, before, _ = self.built
+            lengths = np.diff(np.append(starts, len(order)))
+            to = np.repeat(base - starts, lengths) + np.arange(len(order), dtype=np.int32)
+            grown = np.where(byte < 256, lcp + 1, 0).astype(np.int16)
+            grown[starts] = before
+            moved, ranked, common = np.empty_like(order), np.empty_like(group), np.empty_like(lcp)
+            moved[to], ranked[to], common[to] = order, group, grown
+            order, group, lcp = moved, ranked, common
+
+    def _extended(self, group, byte, lcp):
+        n = len(byte)
+        head = np.ones(n, bool)
+        head[1:] = (group[1:] != group[:-1]) | (byte[1:] != byte[:-1])
+        starts = np.flatnonzero(head).astype(np.int32)
+        ends = np.append(starts[1:], n).astype(np.int32) - 1
+        key = group[starts].astype(np.int64) * 257 + byte[starts]
+        rank = np.argsort(key, kind="stable")  # runs are sorted, not suffixes
+        base = np.empty(len(starts), np.int32)
+        base[rank] = np.concatenate([[0], np.cumsum((ends - starts + 1)[rank])[:-1]]) if n else 0
+        before, after = np.zeros(len(starts), np.int16), np.zeros(len(starts), np.int16)
+        a, b = rank[:-1], rank[1:]
+        same = (key[a] == key[b]) & (byte[starts[b]] < 256)
+        a, b = a[same], b[same]
+        if len(a):
+            # the common length across what lay between two runs of a byte
+            cuts = np.stack([ends[a] + 1, starts[b] + 1], axis=1).ravel()
+            between = np.minimum.reduceat(np.append(lcp, 0), cuts)[::2] + 1
+            before[b], after[a] = between, between
+        self.built = starts, byte[starts], base, before, after
+        return self.built
+
+    @property
+    def runs(self) -> int:
+        return sum(len(c[0]) for c in self.columns)
 
     def long_matches(self) -> tuple[np.ndarray, np.ndarray]:
-        """Least and greatest distance to the anchor at which a long match begins; -1 where none does."""
-        n = len(self.order)
-        least, most = np.full(n, -1, np.int32), np.full(n, -1, np.int32)
+        """Least and greatest distance to the anchor at which a long match begins; -1 where none does.
+
+        Every context is streamed over the runs from the first column on.
+        """
+        n = len(self.place)
+        least, most = np.full(n, -1, np.int16), np.full(n, -1, np.int16)
+        place = self.place
+        back, ahead = self.first[place], self.first[place + 1]
         for distance in range(self.width + 1):
             if distance:
-                self.extend(self.width - distance)
-            hit = np.zeros(n, bool)
-            hit[:] = self.lcp >= self.match
-            hit[:-1] |= self.lcp[1:] >= self.match
-            at = self.order[hit]
-            most[at] = distance
-            least[at[least[at] < 0]] = distance
+                starts, byte, base, before, after = self.columns[distance - 1]
+                lengths = np.diff(np.append(starts, n))
+                run = np.repeat(np.arange(len(starts), dtype=np.int32), lengths)[place]
+                at = place - starts[run]
+                lives = byte[run] < 256
+                back = np.where(at > 0, (back + 1) * lives, before[run])
+                ahead = np.where(at < lengths[run] - 1, (ahead + 1) * lives, after[run])
+                place = base[run] + at
+            hit = np.maximum(back, ahead) >= self.match
+            most[hit] = distance
+            least[hit & (least < 0)] = distance
         return least, most
 
 
@@ -180,10 +230,10 @@ def _unzip(data: bytes, *kinds) -> list[np.ndarray]:
 
 def _distinct_pairs(prints: np.ndarray, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Sorted distinct (print, context) pairs, their counts, and where each given pair stands."""
-    order = np.lexsort((contexts, prints))
+    order = np.lexsort((contexts[:, 1], contexts[:, 0], prints))
     p, c = prints[order], contexts[order]
     first = np.ones(len(p), bool)
-    first[1:] = (p[1:] != p[:-1]) | (c[1:] != c[:-1])
+    first[1:] = (p[1:] != p[:-1]) | (c[1:] != c[:-1]).any(axis=1)
     at = np.empty(len(p), np.int64)
     at[order] = np.cumsum(first) - 1
     starts = np.flatnonzero(first)
@@ -213,7 +263,8 @@ def _messages(rows: list[tuple]):
 
 
 MESSAGE = "kind int, shard int, chunk long, data binary"
-COUNTS, DONE, CONTEXTS, PENDING, STRINGS = range(5)
+#: kinds of messages; contexts of level k have the kind CONTEXTS + k
+COUNTS, DONE, PENDING, CONTEXTS = range(4)
 
 
 def _counted(size: int, shards: int, match: int, gram: int):
@@ -230,25 +281,33 @@ def _counted(size: int, shards: int, match: int, gram: int):
     return trimmed(run)
 
 
-#: what a chunk is told of a context
-ONCE, WHOLE, SOME, MANY = range(4)
+#: what a chunk is told of a context: its gram is seen once, it is its gram's only context, or (and above) it goes to the index, the level added
+ONCE, WHOLE, SOME = range(3)
 #: added in a group of several contexts: to one that repeats whole, and to one that this chunk sends
-REPEATS, OWN = 4, 8
+REPEATS, OWN = 32, 64
+
 
+def spans(level: int, match: int, gram: int) -> list[tuple[int, int]]:
+    """The ranges of distances to the anchor into which a level splits the strings around it, all of one width."""
+    n = match - gram + 1
+    width = -(-n // min(n, 1 << level))
+    return [(min(a, n - width), min(a, n - width) + width - 1) for a in range(0, n, width)]
 
-def _judged(hot: int):
-    """A shard's answers: is a gram seen once, a context repeated whole, or in a group to be indexed or counted."""
+
+def _judged(group: int):
+    """A shard's answers: is a gram seen once, a context repeated whole, or in a group to be indexed, and at which level."""
 
     def run(table):
         parts = [_unzip(x, np.uint64, np.uint64, np.int64) for x in table.column("data").to_pylist()]
         prints = np.concatenate([np.cumsum(p, dtype=np.uint64) for p, _, _ in parts])
-        contexts = np.concatenate([c for _, c, _ in parts])
-        p, c, _, at = _distinct_pairs(prints, contexts)
+        contexts = np.concatenate([c.reshape(-1, 2) for _, c, _ in parts])
+        p, _, _, at = _distinct_pairs(prints, contexts)
         total = np.bincount(at, weights=np.concatenate([n for _, _, n in parts]), minlength=len(p))
         starts = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
-        group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(p))))
-        kinds = np.bincount(group)[group]
-        told = np.where(kinds == 1, np.where(total > 1, WHOLE, ONCE), np.where(kinds > hot, MANY, SOME)).astype(np.uint8)
+        of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(p))))
+        kinds = np.bincount(of)[of]
+        level = np.minimum(np.ceil(np.log2(np.maximum(kinds / group, 1))), LEVELS)
+        told = np.where(kinds == 1, np.where(total > 1, WHOLE, ONCE), SOME + level).astype(np.uint8)
         told[(kinds > 1) & (total > 1)] |= REPEATS
         # the first chunk that holds a context sends it, the others need not
         owner = np.empty(len(p), np.int64)
@@ -336,14 +395,52 @@ def _joined(parts: list[np.ndarray], kind=np.int64) -> np.ndarray:
     return np.concatenate([np.zeros(0, kind), *parts])
 
 
-def _string_keys(a: Anchors, pick: np.ndarray, distance: int) -> np.ndarray:
-    """Keys of the strings that begin so far before the picked anchors: of the string, the anchor and the distance."""
-    at = a.places[pick] - distance
-    return mix(span_hashes(a.sums, at, at + a.match) ^ mix(a.prints[pick] + np.uint64(distance)))
+class Sent:
+    """What a chunk sends of one level: distinct rows, and for each anchor that waits for one, which and where."""
+
+    def __init__(self, level: int, match: int, gram: int):
+        self.match, self.width, self.ranges = match, match - gram, spans(level, match, gram)
+        self.found: dict[bytes, int] = {}
+        self.group, self.left, self.right, self.times = [], [], [], []
+        self.slot, self.at = [], []  # row, place of the anchor in the chunk less the range's least distance
+
+    def add(self, rows: np.ndarray, prints: np.ndarray, left: np.ndarray, right: np.ndarray, places: np.ndarray, asks: np.ndarray) -> None:
+        for low, high in self.ranges:
+            some = np.flatnonzero((left >= low) & (right >= self.match - high))  # a string of the range is in the text
+            part = np.ascontiguousarray(rows[some, self.width - high : self.width - low + self.match])
+            own_left, own_right = np.minimum(left[some], high) - low, np.minimum(right[some] + low, self.match)
+            size, raw = part.shape[1], part.tobytes()
+            core = high - low
+            for k, (p, i, j, at, ask) in enumerate(zip(prints[some].tolist(), own_left.tolist(), own_right.tolist(), places[some].tolist(), asks[some].tolist())):
+                row = raw[k * size : (k + 1) * size]
+                key = b"%d %d %d %d " % (p, low, i, j) + row
+                n = self.found.get(key)
+                if n is None:
+                    n = self.found[key] = len(self.group)
+                    # the part that all strings of the range have in common, at the range and the anchor
+                    shared = hashlib.blake2b(row[core : self.match], digest_size=8, salt=p.to_bytes(8, "little") + low.to_bytes(2, "little")).digest() if len(self.ranges) > 1 else p.to_bytes(8, "little")
+                    self.group.append(int.from_bytes(shared, "little"))
+                    self.left.append(i)
+                    self.right.append(j)
+                    self.times.append(0)
+                self.times[n] += 1
+                if ask:
+                    self.slot.append(n)
+                    self.at.append(at - low)
+
+    def message(self) -> tuple[np.ndarray, ...]:
+        """Rows by group, and the new place of each row."""
+        group = np.array(self.group, np.uint64)
+        size = self.ranges[0][1] - self.ranges[0][0] + self.match
+        matrix = np.frombuffer(b"".join([key[-size:] for key in self.found]), np.uint8).reshape(-1, size)
+        order = np.argsort(group, kind="stable")
+        moved = np.empty(len(order), np.int64)
+        moved[order] = np.arange(len(order))
+        return group[order], matrix[order], np.array(self.left, np.uint8)[order], np.array(self.right, np.uint8)[order], moved
 
 
 def _split(shards: int, match: int, gram: int, with_text: bool):
-    """A chunk and its answers: texts that are done, contexts to index, strings to count, and texts that wait for these."""
+    """A chunk and its answers: texts that are done, contexts to index, and texts that wait for these."""
 
     def run(key, texts, answers):
         import pyarrow as pa
@@ -359,60 +456,51 @@ def _split(shards: int, match: int, gram: int, with_text: bool):
             raise ValueError("the input did not give the same rows twice; write it to a table first")
         offsets = string_buffer(table.column("text"))[1]
         begins, ends, waits = [], [], np.zeros(table.num_rows, bool)
-        slots, keys = [], []  # (context, place, match range), (string key, place) of what waits
-        sent: list[tuple] = []
+        levels: dict[int, Sent] = {}
         fresh = np.ones(len(prints), bool)  # a context is sent once a chunk
         used = 0
         for start, _, a in found:
             mine = at[used : used + len(a.places)]
             used += len(mine)
             says, base = told[mine], offsets[start]
-            own, says = says & OWN > 0, says & (OWN - 1)
-            whole = np.flatnonzero((says == WHOLE) | (says & REPEATS > 0))
+            own, again, says = says & OWN > 0, says & REPEATS > 0, says & (REPEATS - 1)
+            whole = np.flatnonzero((says == WHOLE) | again)
             short = np.maximum(match - (a.last[whole] - a.places[whole]), 0)  # near the text's end, strings begin earlier
             fits = short <= a.left[whole]
             begins.append((a.places[whole] - a.left[whole] + base)[fits])
             ends.append((a.places[whole] - short + match + base)[fits])
-            some = np.flatnonzero(((says & 3) == SOME) & own)
+            some = np.flatnonzero((says >= SOME) & own)
             some = some[np.unique(mine[some], return_index=True)[1]]
             some = some[fresh[mine[some]]]
             fresh[mine[some]] = False
-            sent.append((mine[some], a.rows(some), a.left[some], a.right[some]))
-            wait = np.flatnonzero(says == SOME)
-            slots.append((mine[wait], a.places[wait] + base))
+            for level in np.unique(says[some] - SOME).tolist():
+                pick = some[says[some] - SOME == level]
+                sent = levels.setdefault(level, Sent(level, match, gram))
+                sent.add(a.rows(pick), a.prints[pick], a.left[pick], a.right[pick], a.places[pick] + base, ~again[pick])
             text = np.searchsorted(a.offsets, a.places, "right") - 1 + start
-            waits[text[(says == SOME) | (says == MANY)]] = True
-            many = np.flatnonzero((says & 3) == MANY)
-            for d in range(match - gram + 1) if len(many) else ():
-                some = many[(a.left[many] >= d) & (a.right[many] >= match - d)]
-                keys.append((_string_keys(a, some, d), a.places[some] - d + base, says[some] == MANY))
-        begins, ends = _joined(begins), _joined(ends)
-        rows = []
+            waits[text[(says >= SOME) & ~again]] = True
+
+        rows, slot_at, slot, count = [], [], [], 0
+        for level, sent in sorted(levels.items()):
+            group, matrix, left, right, moved = sent.message()
+            cuts = [*np.searchsorted(group, bounds(shards)).tolist(), len(group)]
+            rows += [(CONTEXTS + level, k, chunk, _zip(group[i:j], matrix[i:j], left[i:j], right[i:j])) for k, (i, j) in enumerate(zip(cuts, cuts[1:])) if j > i]
+            asked, places, times = np.array(sent.slot, np.int64), np.array(sent.at, np.int64), np.array(sent.times, np.int64)
+            # rows that this chunk has twice repeat whole: all strings of their range
+            twice = times[asked] > 1
+            begins.append((places - np.array(sent.left, np.int64)[asked])[twice])
+            ends.append((places - np.maximum(match - np.array(sent.right, np.int64)[asked], 0) + match)[twice])
+            slot_at.append(places[~twice])
+            slot.append(moved[asked[~twice]] + count)
+            count += len(group)
+        begins, ends, slot_at, slot = _joined(begins), _joined(ends), _joined(slot_at), _joined(slot)
         done = table.filter(pa.array(~waits))
         if done.num_rows:
             rows.append((DONE, 0, chunk, _rows_out(_results(done, *_moved(offsets, ~waits, begins, ends), with_text))))
-
-        place, matrix, left, right = (np.concatenate([x[k] for x in sent]) for k in range(4))
-        order = np.argsort(place)
-        place, matrix, left, right = (x[order] for x in (place, matrix, left, right))
-        cuts = [*np.searchsorted(prints[place], bounds(shards)).tolist(), len(place)]
-        rows += [(CONTEXTS, k, chunk, _zip(prints[place[i:j]], matrix[i:j], left[i:j].astype(np.uint8), right[i:j].astype(np.uint8))) for k, (i, j) in enumerate(zip(cuts, cuts[1:])) if j > i]
-
-        strings, which, n = np.unique(_joined([k for k, _, _ in keys], np.uint64), return_inverse=True, return_counts=True)
-        cuts = [*np.searchsorted(strings, bounds(shards)).tolist(), len(strings)]
-        rows += [(STRINGS, k, chunk, _zip(np.diff(strings[i:j], prepend=np.uint64(0)), n[i:j])) for k, (i, j) in enumerate(zip(cuts, cuts[1:])) if j > i]
-
         if waits.any():
-            slot_at, slot = _joined([p for _, p in slots]), np.searchsorted(place, _joined([m for m, _ in slots]))
-            string_at, string = _joined([p for _, p, _ in keys]), which
-            asked = _joined([w for _, _, w in keys], bool)
-            keep = waits[np.searchsorted(offsets, slot_at, "right") - 1]
-            slot_at, slot = _moved(offsets, waits, slot_at)[0], slot[keep]
-            string_at, string = string_at[asked], string[asked]
-            string_at = _moved(offsets, waits, string_at)[0]
-            rest = table.filter(pa.array(waits))
             marks = _moved(offsets, waits, begins, ends)
-            rows.append((PENDING, 0, chunk, _pair(_zip(*marks, slot_at, slot, string_at, string), _rows_out(rest))))
+            slot_at = _moved(offsets, waits, slot_at)[0]
+            rows.append((PENDING, 0, chunk, _pair(_zip(*marks, slot_at, slot), _rows_out(table.filter(pa.array(waits))))))
         return _messages(rows)
 
     return trimmed(run)
@@ -428,27 +516,33 @@ def _unpair(data: bytes) -> tuple[bytes, bytes]:
 
 
 def _indexed(match: int, gram: int):
-    """A shard's answers: long matches of each context in the index, or strings that repeat."""
+    """A shard's answers for one level: the long matches of each of its contexts."""
 
     def run(key, table):
-        if key[0].as_py() == STRINGS:
-            parts = [_unzip(x, np.uint64, np.int64) for x in table.column("data").to_pylist()]
-            strings = [np.cumsum(d, dtype=np.uint64) for d, _ in parts]
-            _, at = np.unique(np.concatenate(strings), return_inverse=True)
-            again = (np.bincount(at, weights=np.concatenate([n for _, n in parts]))[at] > 1).astype(np.uint8)
-            cuts = np.cumsum([0] + [len(x) for x in strings])
-            answers = [(again[i:j],) for i, j in zip(cuts, cuts[1:])]
-        else:
-            parts = [_unzip(x, np.uint64, np.uint8, np.uint8, np.uint8) for x in table.column("data").to_pylist()]
-            prints, rows, left, right = (np.concatenate([p[k] for p in parts]) for k in range(4))
-            pick = np.argsort(prints, kind="stable")
-            group = np.cumsum(np.concatenate([[False], prints[pick][1:] != prints[pick][:-1]]))
-            index = RunLengthIndex(group, rows.reshape(-1, 2 * match - gram)[pick], left[pick].astype(np.int64), right[pick].astype(np.int64), match, gram)
-            least, most = np.empty(len(pick), np.int16), np.empty(len(pick), np.int16)
-            least[pick], most[pick] = index.long_matches()
-            cuts = np.cumsum([0] + [len(x[0]) for x in parts])
-            answers = [(least[i:j], most[i:j]) for i, j in zip(cuts, cuts[1:])]
-        return _messages([(key[0].as_py(), s, k, _zip(*x)) for s, k, x in zip(table.column("shard").to_pylist(), table.column("chunk").to_pylist(), answers)])
+        low, high = spans(key[0].as_py() - CONTEXTS, match, gram)[0]
+        gram_ = match - (high - low)
+        parts = [_unzip(x, np.uint64, np.uint8, np.uint8, np.uint8) for x in table.column("data").to_pylist()]
+        groups, rows, left, right = (np.concatenate([p[k] for p in parts]) for k in range(4))
+        rows = rows.reshape(len(groups), -1)
+        pick = np.argsort(groups, kind="stable")
+        head = np.concatenate([[True], groups[pick][1:] != groups[pick][:-1]])
+        starts = np.flatnonzero(head)
+        stops = np.append(starts[1:], len(pick))
+        least, most = np.full(len(pick), -1, np.int16), np.full(len(pick), -1, np.int16)
+        begin = 0
+        while begin < len(starts):
+            first = starts[begin]
+            end = max(begin + 1, int(np.searchsorted(stops, first + BATCH, "right")))
+            last = stops[end - 1]
+            some = pick[first:last]
+            own = np.cumsum(head[first:last]) - 1
+            many = np.bincount(own)[own] > 1  # a context alone in its group has no match
+            some, own = some[many], own[many]
+            index = RunLengthIndex(own, rows[some], left[some].astype(np.int64), right[some].astype(np.int64), match, gram_)
+            least[some], most[some] = index.long_matches()
+            begin = end
+        cuts = np.cumsum([0] + [len(x[0]) for x in parts])
+        return _messages([(key[0].as_py(), s, k, _zip(least[i:j], most[i:j])) for s, k, i, j in zip(table.column("shard").to_pylist(), table.column("chunk").to_pylist(), cuts, cuts[1:])])
 
     return trimmed(run)
 
@@ -460,17 +554,12 @@ def _finished(match: int, with_text: bool, schema):
         if not pending.num_rows:
             return schema.empty_table()
         marks, rows = _unpair(pending.column("data")[0].as_py())
-        begins, ends, slot_at, slot, string_at, string = _unzip(marks, *[np.int64] * 6)
-        told: dict[int, list] = {CONTEXTS: [], STRINGS: []}
-        for kind, shard, data in zip(*(answers.column(c).to_pylist() for c in ("kind", "shard", "data"))):
-            told[kind].append((shard, data))
-        index = [_unzip(d, np.int16, np.int16) for _, d in sorted(told[CONTEXTS])]
-        least, most = (_joined([x[k] for x in index])[slot] for k in (0, 1)) if len(slot) else (np.zeros(0, np.int64),) * 2
+        begins, ends, slot_at, slot = _unzip(marks, *[np.int64] * 4)
+        told = sorted(zip(*(answers.column(c).to_pylist() for c in ("kind", "shard", "data"))))
+        index = [_unzip(d, np.int16, np.int16) for _, _, d in told]
+        least, most = (_joined([x[k] for x in index])[slot] if len(slot) else np.zeros(0, np.int64) for k in (0, 1))
         hit = most >= 0
-        again = _joined([_unzip(d, np.uint8)[0] for _, d in sorted(told[STRINGS])], np.uint8)
-        string_at = string_at[again[string] > 0] if len(string) else string_at
-        table = _rows_in(rows)
-        return _results(table, _joined([begins, slot_at[hit] - most[hit], string_at]), _joined([ends, slot_at[hit] - least[hit] + match, string_at + match]), with_text).cast(schema)
+        return _results(_rows_in(rows), _joined([begins, slot_at[hit] - most[hit]]), _joined([ends, slot_at[hit] - least[hit] + match]), with_text).cast(schema)
 
     return trimmed(run)
 
@@ -484,14 +573,14 @@ def _opened(schema):
     return trimmed(run)
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", match: int = MATCH, gram: int = GRAM, hot: int = HOT, chunk: int = CHUNK, with_text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", match: int = MATCH, gram: int = GRAM, group: int = GROUP, chunk: int = CHUNK, with_text: bool = True) -> DataFrame:
     """(row, n_bytes, n_removed, n_spans, kept_sha256[, kept_text]); ``row`` holds the columns of ``docs``.
 
     ``docs`` must give the same rows in the same order each time, as a file scan does.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    shards = max(1, shuffle_partitions(docs))
+    shards = shards_for(docs.select(F.col(text)), SHARD)
     whole = docs.select(F.struct(*[c for c in docs.columns if c != text]).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     out = whole.select("row", *[F.lit(0).cast("long").alias(c) for c in ("n_bytes", "n_removed", "n_spans")], F.lit("").alias("kept_sha256"), *[F.lit("").alias("kept_text")] * with_text).schema
     for field in out.fields:
@@ -499,10 +588,10 @@ def remove_repeats(docs: DataFrame, text: str = "text", match: int = MATCH, gram
     schema = to_arrow_schema(out)
 
     sent = whole.select("text").mapInArrow(_counted(chunk, shards, match, gram), MESSAGE)
-    judged = sent.groupBy("shard").applyInArrow(_judged(hot), MESSAGE).checkpoint()
+    judged = sent.groupBy("shard").applyInArrow(_judged(group), MESSAGE).checkpoint()
     texts = whole.mapInArrow(_texts(chunk, match, gram), "chunk long, rows binary, places binary")
     split = texts.groupBy("chunk").cogroup(judged.groupBy("chunk")).applyInArrow(_split(shards, match, gram, with_text), MESSAGE).checkpoint()
-    told = split.filter(F.col("kind").isin(CONTEXTS, STRINGS)).groupBy("kind", "shard").applyInArrow(_indexed(match, gram), MESSAGE)
+    told = split.filter(F.col("kind") >= CONTEXTS).groupBy("kind", "shard").applyInArrow(_indexed(match, gram), MESSAGE)
     waiting = split.filter(F.col("kind") == PENDING).groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_finished(match, with_text, schema), out)
     return split.filter(F.col("kind") == DONE).select("data").mapInArrow(_opened(schema), out).unionByName(waiting)
 

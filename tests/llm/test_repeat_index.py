@@ -49,7 +49,7 @@ def made_up(seed, n=60):
     return out
 
 
-@pytest.mark.parametrize("options", [{}, {"hot": 2}, {"gram": 128}])
+@pytest.mark.parametrize("options", [{}, {"group": 2}, {"group": 1, "gram": 190}, {"gram": 128}])
 def test_equals_brute_force(spark, options):
     texts = made_up(1) + ["a" * 199, "b" * 200, "c" * 201] + ODD
     docs = documents(spark, texts)
@@ -76,6 +76,31 @@ def test_index_reports_every_long_match():
             assert (got[0][i], got[1][i]) == ((min(at), max(at)) if at else (-1, -1))
 
 
+def test_runs_do_not_grow_with_copies():
+    """A column of a thousand contexts that differ in few bytes is a handful of runs."""
+    rng, match, gram = np.random.default_rng(5), 200, 64
+    base = rng.integers(97, 123, 2 * match - gram).astype(np.uint8)
+
+    def index(n):
+        rows = np.tile(base, (n, 1))
+        for r in rows[n // 2 :]:
+            r[int(rng.integers(0, match - gram))] = rng.integers(97, 123)
+        full = np.full(n, match)
+        return R.RunLengthIndex(np.zeros(n, int), rows, np.minimum(full, match - gram), full, match, gram)
+
+    small, large = index(100), index(1000)
+    assert large.runs < 1000 * len(large.columns) / 20 and large.runs / small.runs < 1000 / 100
+    least, most = large.long_matches()
+    assert (least[:500] == 0).all() and (most[:500] == match - gram).all()
+
+
+@pytest.mark.parametrize("level", range(9))
+def test_ranges_of_a_split_cover_every_distance_at_one_width(level):
+    ranges = R.spans(level, 200, 64)
+    assert {d for low, high in ranges for d in range(low, high + 1)} == set(range(137)) and len({high - low for low, high in ranges}) == 1
+    assert len(ranges) <= min(137, 2**level)
+
+
 def test_rows_repeated_ids_and_clashing_columns(spark):
     text = "".join(chr(97 + i * i % 26) for i in range(260)) + "é"
     rows = [(None, text, 1, "x"), (7, text, 2, "y"), (7, text, 2, "y"), (8, None, None, None)]
