@@ -1,15 +1,18 @@
 """Best-fit packing of tokenised documents into sequences (operator 8).
 
 Texts are tokenised where they lie; only lengths and checksums move on.  Packing
-is hierarchical: each task packs its pieces best-fit, sends off the bins that are
-nearly full and hands the rest on as items, whose number falls from round to round
-as eight tasks' rests meet in one and are best-fitted again.  A node that holds
-more than ``OPEN_BINS`` open bins sends off its fullest, so memory stays bounded
-whatever the sizes are; nothing is dropped by that.
+is hierarchical, at any size of the input: the pieces are dealt to ``FAN_IN`` nodes at
+least, and to as many as hold ``NODE_ITEMS`` each; a node packs its items best-fit, sends
+off the bins that are nearly full, and its underfull bins are the items of the next round.
+They are counted, and meet in so many fewer nodes, neighbours in the tree first, until one
+node packs the last.  So no node ever holds much more than ``NODE_ITEMS`` items, whatever
+the sizes are.  A round that joins next to nothing (all that is left is larger than half
+a sequence) ends it: those bins are sequences as they are.
 
 Defined results: a null or empty text is one token (the end id); repeated rows are
-packed one by one; a length of exactly 4096 fills a sequence; an empty table gives
-an empty result; other columns of the input are not read.
+packed one by one; a length of exactly 4096 fills a sequence; of bins that fit equally
+well any may be taken; texts are tokenised whole, whatever their length; an empty table
+gives an empty result; other columns of the input are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -29,12 +32,13 @@ from strata.llm.common import held
 SEQUENCE = 4096
 END_ID = 1
 #: a bin with at most so many free places counts as full in every round but the last
-SLACK = 8
-#: rests of so many tasks meet in the next round
+SLACK = 2
+#: nodes of the first round at least
 FAN_IN = 8
-OPEN_BINS = 50_000
-#: items that a task of the first round packs, at any size of the input
-LEAF_ITEMS = 20_000
+#: items that a node packs
+NODE_ITEMS = 20_000
+#: a round that leaves more than this share of its items as underfull bins ends the packing
+STUCK = 0.999
 #: words and pieces kept with their ids in one Python worker
 CACHE_WORDS, CACHE_PIECES = 200_000, 400_000
 
@@ -192,7 +196,7 @@ def best_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
     return out
 
 
-BIN = "bin long, node int, sent boolean, length long, members array<struct<key: bigint, length: bigint>>"
+BIN = "bin long, node long, sent boolean, length long, members array<struct<key: bigint, length: bigint>>"
 
 
 def _pack(capacity: int, slack: int, last: bool, level: int):
@@ -207,9 +211,6 @@ def _pack(capacity: int, slack: int, last: bool, level: int):
         cuts = np.flatnonzero(np.diff(where[order], prepend=-1))
         totals = np.add.reduceat(sizes[order], cuts) if len(cuts) else np.zeros(0, np.int64)
         sent = (totals >= capacity - slack) | last
-        opened = np.flatnonzero(~sent)
-        if len(opened) > OPEN_BINS:
-            sent[opened[np.argsort(-totals[opened], kind="stable")[: len(opened) - OPEN_BINS]]] = True
         members = table.column("members").combine_chunks().take(pa.array(order))
         flat = members.flatten()
         member = pa.struct([pa.field("key", pa.int64()), pa.field("length", pa.int64())])
@@ -220,32 +221,37 @@ def _pack(capacity: int, slack: int, last: bool, level: int):
         node = int(key[0].as_py())
         ids = (np.int64(level) << np.int64(58)) + (np.int64(node) << np.int64(26)) + np.arange(len(cuts))
         return pa.table({
-            "bin": pa.array(ids), "node": pa.array(np.full(len(cuts), node // FAN_IN, np.int32)), "sent": pa.array(sent), "length": pa.array(totals),
+            "bin": pa.array(ids), "node": pa.array(np.full(len(cuts), node)), "sent": pa.array(sent), "length": pa.array(totals),
             "members": pa.ListArray.from_arrays(pa.array(offsets), lists, type=pa.list_(pa.field("element", member))),
         })
 
     return run
 
 
-def pack(items: DataFrame, capacity: int = SEQUENCE, slack: int = SLACK, leaves: int | None = None) -> DataFrame:
-    """Bins of (key, length) items: (sequence_id, members, length), members in their order in the sequence.
-
-    ``leaves`` nodes pack first, as many as the items fill; they are dealt evenly.
-    """
-    leaves = leaves or max(1, math.ceil(items.count() / LEAF_ITEMS))
-    # a leaf's items have sizes of all kinds, as the deal does not look at them
-    current = items.select(F.pmod(F.xxhash64("key"), F.lit(leaves)).cast("int").alias("node"), "length", F.array(F.struct(F.col("key").alias("key"), F.col("length").alias("length"))).alias("members"))
+def pack(items: DataFrame, capacity: int = SEQUENCE, slack: int = SLACK, node_items: int = NODE_ITEMS) -> DataFrame:
+    """Bins of (key, length) items: (sequence_id, members, length), members in their order in the sequence."""
+    count = items.count()
+    nodes = max(FAN_IN, math.ceil(count / node_items))
+    # a node's items have sizes of all kinds, as the deal does not look at them
+    current = items.select(F.pmod(F.xxhash64("key"), F.lit(nodes)).alias("node"), "length", F.array(F.struct(F.col("key").alias("key"), F.col("length").alias("length"))).alias("members"))
     level, done = 0, []
     while True:
-        last = leaves == 1
-        packed = current.groupBy("node").applyInArrow(_pack(capacity, slack, last, level), BIN)
-        if last:
+        packed = current.groupBy("node").applyInArrow(_pack(capacity, slack, nodes == 1, level), BIN)
+        if nodes == 1:
             done.append(packed)
             break
         packed = packed.checkpoint()
         done.append(packed.filter("sent"))
-        current = packed.filter("not sent").select("node", "length", "members")
-        leaves, level = -(-leaves // FAN_IN), level + 1
+        rest = packed.filter("not sent")
+        left = rest.count()
+        fewer = max(1, math.ceil(left / node_items))
+        if fewer > 1 and left > STUCK * count:
+            done.append(rest)
+            break
+        # the tree: neighbouring nodes meet; if they are as many as before, another deal
+        node = F.floor(F.col("node") * fewer / nodes) if fewer < nodes else F.pmod(F.xxhash64("bin"), F.lit(fewer))
+        current = rest.select(node.cast("long").alias("node"), "length", "members")
+        nodes, count, level = fewer, left, level + 1
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)

@@ -59,16 +59,26 @@ def test_sequences(spark):
 
 def test_rests_of_many_nodes_are_merged(spark):
     items = spark.range(500).selectExpr("id as key", "40 + id % 20 as length")
-    bins = P.pack(items, 100, 0, leaves=70).collect()
-    assert sorted(m["key"] for b in bins for m in b.members) == list(range(500)) and all(b.length == sum(m["length"] for m in b.members) <= 100 for b in bins)
-    # 248 bins hold the sum; the first round has seven items to a node
-    assert len(bins) <= 248 * 1.15 and len({b.sequence_id for b in bins}) == len(bins)
-
-
-def test_full_nodes_send_their_fullest_bins(spark, monkeypatch):
-    monkeypatch.setattr(P, "OPEN_BINS", 3)
-    bins = P.pack(spark.range(90).selectExpr("id as key", "60L as length"), 100, 0, leaves=9).collect()
-    assert len(bins) == 90
+    for node_items in (8, 100, 10_000):
+        bins = P.pack(items, 100, 0, node_items).collect()
+        assert sorted(m["key"] for b in bins for m in b.members) == list(range(500)) and all(b.length == sum(m["length"] for m in b.members) <= 100 for b in bins)
+        # 248 bins hold the sum
+        assert len(bins) <= 248 * 1.15 and len({b.sequence_id for b in bins}) == len(bins), node_items
+
+
+def test_what_cannot_be_joined_ends_the_rounds(spark, monkeypatch):
+    sizes, pack = [], P._pack
+
+    def counting(*args):
+        sizes.append(args)
+        return pack(*args)
+
+    monkeypatch.setattr(P, "_pack", counting)
+    bins = P.pack(spark.range(90).selectExpr("id as key", "60L as length"), 100, 0, 10).collect()
+    assert len(bins) == 90 == len({b.sequence_id for b in bins}) and len(sizes) == 1
+    # two sizes that fit each other but for what nodes of ten items join first: 200 bins hold the sum
+    bins = P.pack(spark.range(400).selectExpr("id as key", "if(id % 2 = 0, 60L, 40L) as length"), 100, 0, 10).collect()
+    assert len(bins) <= 200 * 1.2 and sum(b.length for b in bins) == 400 * 50
 
 
 def test_best_fit_fills_gaps():
