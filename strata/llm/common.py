@@ -61,6 +61,16 @@ def without(docs: DataFrame, gone: DataFrame, text: str = "text") -> DataFrame:
     return marked.filter(F.when(F.col(told).isNull(), True).when(same, False).otherwise(wrong)).select(*kept)
 
 
+def _width(field) -> Column:
+    """Bytes of a column's value in a row, structures and arrays of numbers by their parts."""
+    column, kind = F.col(f"`{field.name}`"), field.dataType.simpleString()
+    if kind in ("string", "binary"):
+        return F.coalesce(F.octet_length(column), F.lit(0)).cast("long") + 16
+    if kind.startswith("array"):
+        return F.coalesce(F.greatest(F.size(column), F.lit(0)), F.lit(0)).cast("long") * 16 + 16
+    return F.lit(8 * (1 + kind.count(":"))).cast("long")
+
+
 def sized(df: DataFrame, limit: int | None = None) -> DataFrame:
     """``df`` cut off by checkpoint(), with a broadcast hint only if it is small enough.
 
@@ -68,8 +78,7 @@ def sized(df: DataFrame, limit: int | None = None) -> DataFrame:
     the join that follows shuffles both sides instead.
     """
     df = df.checkpoint()
-    wide = [F.coalesce(F.octet_length(f.name), F.lit(0)).cast("long") if f.dataType.simpleString() in ("string", "binary") else F.lit(16).cast("long") for f in df.schema.fields]
-    total = df.agg(F.coalesce(F.sum(functools.reduce(lambda a, b: a + b, wide, F.lit(16).cast("long"))), F.lit(0))).first()[0]
+    total = df.agg(F.coalesce(F.sum(functools.reduce(lambda a, b: a + b, map(_width, df.schema.fields), F.lit(16).cast("long"))), F.lit(0))).first()[0]
     return F.broadcast(df) if total <= (BROADCAST_BYTES if limit is None else limit) else df
 
 
@@ -143,8 +152,7 @@ def input_bytes(df: DataFrame) -> int:
     told = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if told < 1 << 56:
         return told
-    wide = [F.coalesce(F.octet_length(f"`{f.name}`"), F.lit(0)).cast("long") if f.dataType.simpleString() in ("string", "binary") else F.lit(8).cast("long") for f in df.schema.fields]
-    return df.agg(F.coalesce(F.sum(functools.reduce(lambda a, b: a + b, wide)), F.lit(0))).first()[0]
+    return df.agg(F.coalesce(F.sum(functools.reduce(lambda a, b: a + b, map(_width, df.schema.fields))), F.lit(0))).first()[0]
 
 
 def shards_for(df: DataFrame, size: int) -> int:
@@ -314,3 +322,31 @@ def chunk_id(seq: int) -> int:
     from pyspark import TaskContext
 
     return (TaskContext.get().partitionId() << 20) | seq
+
+
+def rows_out(table) -> bytes:
+    """A table as one compressed message."""
+    import pyarrow as pa
+
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def rows_in(data: bytes):
+    import pyarrow as pa
+
+    return pa.ipc.open_stream(data).read_all().combine_chunks()
+
+
+def chunked_rows(size: int):
+    """Each chunk's rows as one compressed message to itself: (chunk, rows)."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for seq, table in chunks(batches, size):
+            yield pa.RecordBatch.from_arrays([pa.array([chunk_id(seq)], pa.int64()), pa.array([rows_out(table)], pa.binary())], ["chunk", "rows"])
+
+    return trimmed(run)

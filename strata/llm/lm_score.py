@@ -35,7 +35,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import LOWER, blocks, bounds, chunk_id, chunks, mix, pack, pack_counts, prefix_sums, shards_for, span_hashes, string_buffer, trimmed, unpack, unpack_counts, words
+from strata.llm.common import LOWER, blocks, bounds, chunk_id, chunked_rows, chunks, mix, pack, pack_counts, prefix_sums, rows_in, shards_for, span_hashes, string_buffer, trimmed, unpack, unpack_counts, words
 
 #: bytes of text in a chunk, but for one longer text
 CHUNK = 6 << 20
@@ -187,21 +187,6 @@ def _told(data: bytes) -> list[np.ndarray]:
     return [unpack_counts(data[a:b], int(length)) for a, b, length in zip(ends, ends[1:], head[1 : 1 + n])]
 
 
-def _texts(size: int):
-    """Each chunk's rows as one compressed message to itself."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        for seq, table in chunks(batches, size):
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                out.write_table(table)
-            yield pa.RecordBatch.from_arrays([pa.array([chunk_id(seq)], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["chunk", "rows"])
-
-    return trimmed(run)
-
-
 class Automaton:
     """The states, arcs and failure arcs that a chunk's texts can reach.
 
@@ -276,7 +261,7 @@ def _scores(n: int, v: int, discount: float, k2: float, k3: float):
     def run(key, texts, answers):
         import pyarrow as pa
 
-        table = pa.ipc.open_stream(texts.column("rows")[0].as_py()).read_all().combine_chunks()
+        table = rows_in(texts.column("rows")[0].as_py())
         tokens, offsets = token_hashes(table.column("text"))
         grams = Grams(tokens, offsets, table.column("counted").to_numpy().astype(np.int64))
         told: list[list] = [[], []]
@@ -304,7 +289,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k2: float
     sums = answers.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "v", "n1", "n2")]).first()
     # the usual estimate from the counts of counts; between them where a corpus has none
     discount = sums.n1 / (sums.n1 + 2 * sums.n2) if sums.n1 and sums.n2 else 0.5
-    texts = rows.mapInArrow(_texts(chunk), "chunk long, rows binary")
+    texts = rows.mapInArrow(chunked_rows(chunk), "chunk long, rows binary")
     scored = texts.groupBy("chunk").cogroup(answers.select("chunk", "kind", "shard", "data").groupBy("chunk")).applyInArrow(_scores(sums.n, sums.v, discount, k2, k3), f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % FOLDS == HELD_OUT, F.lit(False))
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(sums.n).cast("long").alias("train_tokens"), "base_score", "score")

@@ -1,9 +1,13 @@
 """SentencePiece encoding and decoding by a shared-prefix forward search (operator 6).
 
-Distinct marked words of a batch are sorted, so that they form a trie read depth
-first: the forward states of a common prefix are computed once and kept on a stack.
-A state is what is known of a prefix's best segmentation, its last piece; pieces
-that may still grow are pointers into the vocabulary's own trie.
+Each distinct marked word of the corpus is segmented once.  A chunk of texts sends its
+distinct words to shards by their first characters, so that words with a common prefix
+meet wherever they are; a shard sorts them, which is a trie read depth first: the forward
+states of a common prefix are computed once and kept on a stack.  A state is what is known
+of a prefix's best segmentation, its last piece; pieces that may still grow are pointers
+into the vocabulary's own trie.  The shard answers each chunk with the ids of its words,
+and the chunk's texts are put together from them.  A frequent word is one entry a chunk,
+and shards follow the input's bytes.
 
 For a unigram model a state holds the best summed score (plain Viterbi).  For a BPE
 model summed scores do not give the model's ids, as merges go by rank; there the
@@ -12,8 +16,11 @@ of what is before it when the two are merged alone, and the state holds that.  B
 agree with the library.
 
 Defined results: a null text is empty and has no ids; characters outside the
-vocabulary become their bytes; repeated rows are coded one by one; decoding gives
-the text back, but for the mark character itself, which decodes to a space.
+vocabulary become their bytes; repeated rows are coded one by one; of segmentations of
+one score the one with the longest last piece is taken; texts are coded whole, one longer
+than a chunk being a chunk; an empty table gives an empty result; other columns of the
+input are not read, so their names cannot clash; decoding gives the text back, but for
+the mark character itself, which decodes to a space.
 """
 
 from __future__ import annotations
@@ -26,9 +33,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import held
+from strata.llm.common import chunk_id, chunked_rows, chunks, held, rows_in, rows_out, shards_for, trimmed
 
 MARK = "▁"
+#: bytes of text in a chunk, and of input whose words meet in a shard
+CHUNK, SHARD = 4 << 20, 16 << 20
+#: first characters of a word that choose its shard
+LEAD = 4
 #: words kept with their ids, and pairs of pieces kept with their verdict, in one Python worker
 CACHE_WORDS, CACHE_PAIRS = 500_000, 1_000_000
 UNKNOWN_PENALTY = 10.0
@@ -188,36 +199,96 @@ def codec(path: str) -> PieceCodec:
     return held(("pieces", path), lambda: PieceCodec(path))
 
 
-def _encoded(path: str, with_ids: bool):
+def _words_out(words: list[str]) -> bytes:
+    import pyarrow as pa
+
+    return rows_out(pa.table({"w": pa.array(words, pa.string())}))
+
+
+def _distinct(path: str, size: int, shards: int):
+    """A chunk's distinct words, a message to each shard."""
+
     def run(batches):
         import pyarrow as pa
+        import xxhash
+
+        for seq, table in chunks(batches, size):
+            coder, texts = codec(path), table.column("text")
+            every: set[str] = set()
+            for start in range(0, len(texts), 256):
+                every.update(*map(coder.words, texts.slice(start, 256).to_pylist()))
+            by: dict[int, list[str]] = {}
+            for word in sorted(every):
+                by.setdefault(xxhash.xxh32_intdigest(word[:LEAD].encode()) % shards, []).append(word)
+            found = sorted(by.items())
+            yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in found], pa.int32()), pa.array([chunk_id(seq)] * len(found), pa.int64()), pa.array([_words_out(w) for _, w in found], pa.binary())], ["shard", "chunk", "data"])
+
+    return trimmed(run)
+
+
+def _segmented(path: str):
+    """A shard's answers: the ids of each chunk's words, in their order."""
+
+    def run(table):
+        import pyarrow as pa
+
+        coder = codec(path)
+        asked = [rows_in(x).column("w").to_pylist() for x in table.column("data").to_pylist()]
+        coder.known.clear()
+        coder.learn(list(set().union(*asked)))
+        get = coder.known.__getitem__
+        answers = [rows_out(pa.table({"w": pa.array(words, pa.string()), "ids": pa.array(list(map(get, words)), pa.binary())})) for words in asked]
+        coder.known.clear()
+        return pa.table({"chunk": table.column("chunk"), "data": pa.array(answers, pa.binary())})
+
+    return trimmed(run)
+
+
+def _encoded(path: str, with_ids: bool):
+    def run(key, texts, answers):
+        import pyarrow as pa
 
-        for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
-                texts = [x or "" for x in part.column(1).to_pylist()]
-                coder = codec(path)
-                ids = coder.encode(texts)
-                back = [coder.decode(x) for x in ids]
-                columns = {
-                    "doc_id": part.column(0),
-                    "n_ids": pa.array([len(x) // 4 for x in ids], pa.int64()),
-                    "ids_crc32": pa.array([zlib.crc32(x) for x in ids], pa.int64()),
-                    "decoded_sha256": pa.array([hashlib.sha256(x.encode()).hexdigest() for x in back]),
-                    "same": pa.array([a == b for a, b in zip(texts, back)]),
-                }
-                if with_ids:
-                    columns["ids"] = pa.array([np.frombuffer(x, "<i4") for x in ids], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_pydict(columns)
-
-    return run
-
-
-def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, with_ids: bool = True) -> DataFrame:
-    """(doc_id, n_ids, ids_crc32, decoded_sha256, same[, ids]) of every row; no shuffle."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+        coder = codec(path)
+        table = rows_in(texts.column("rows")[0].as_py())
+        coder.known.clear()
+        for data in answers.column("data").to_pylist():
+            told = rows_in(data)
+            coder.known.update(zip(told.column("w").to_pylist(), told.column("ids").to_pylist()))
+        get, out = coder.known.__getitem__, []
+        for start in range(0, table.num_rows, 256):
+            part = table.slice(start, 256)
+            some = part.column("text").to_pylist()
+            ids = [b"".join(map(get, coder.words(t))) for t in some]
+            back = [coder.decode(x) for x in ids]
+            columns = {
+                "doc_id": part.column("doc_id"),
+                "n_ids": pa.array([len(x) // 4 for x in ids], pa.int64()),
+                "ids_crc32": pa.array([zlib.crc32(x) for x in ids], pa.int64()),
+                "decoded_sha256": pa.array([hashlib.sha256(x.encode()).hexdigest() for x in back]),
+                "same": pa.array([a == b for a, b in zip(some, back)]),
+            }
+            if with_ids:
+                columns["ids"] = pa.array([np.frombuffer(x, "<i4") for x in ids], pa.list_(pa.int32()))
+            out.append(pa.table(columns))
+        coder.known.clear()
+        return pa.concat_tables(out).combine_chunks()
+
+    return trimmed(run)
+
+
+def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, with_ids: bool = True, chunk: int = CHUNK) -> DataFrame:
+    """(doc_id, n_ids, ids_crc32, decoded_sha256, same[, ids]) of every row.
+
+    ``docs`` must give the same rows in the same order each time, as a file scan does; a
+    chunk that has a word without an answer raises a KeyError.
+    """
+    path = path or default_model()
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     kind = rows.schema[0].dataType.simpleString()
-    return rows.mapInArrow(_encoded(path or default_model(), with_ids), f"doc_id {kind}, n_ids long, ids_crc32 long, decoded_sha256 string, same boolean" + ", ids array<int>" * with_ids)
+    words = rows.select("text").mapInArrow(_distinct(path, chunk, shards_for(docs.select(F.col(text)), SHARD)), "shard int, chunk long, data binary")
+    answers = words.groupBy("shard").applyInArrow(_segmented(path), "chunk long, data binary")
+    texts = rows.mapInArrow(chunked_rows(chunk), "chunk long, rows binary")
+    return texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_encoded(path, with_ids), f"doc_id {kind}, n_ids long, ids_crc32 long, decoded_sha256 string, same boolean" + ", ids array<int>" * with_ids)
 
 
 def decode(coded: DataFrame, ids: str = "ids", out: str = "text", path: str | None = None) -> DataFrame:

@@ -45,7 +45,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import blocks, bounds, chunk_id, chunks, mix, prefix_sums, shards_for, span_hashes, string_buffer, trimmed
+from strata.llm.common import blocks, bounds, chunk_id, chunks, mix, prefix_sums, rows_in, rows_out, shards_for, span_hashes, string_buffer, trimmed
 
 MATCH = 200
 GRAM = 64
@@ -329,26 +329,11 @@ def _texts(size: int, match: int, gram: int):
         for seq, table in chunks(batches, size):
             found = _of_chunk(table, match, gram)
             places = np.concatenate([np.append(len(a.places), np.diff(a.places, prepend=0)) for _, _, a in found]).astype(np.uint32)
-            yield pa.RecordBatch.from_arrays([pa.array([chunk_id(seq)], pa.int64()), pa.array([_rows_out(table)], pa.binary()), pa.array([_zip(places)], pa.binary())], ["chunk", "rows", "places"])
+            yield pa.RecordBatch.from_arrays([pa.array([chunk_id(seq)], pa.int64()), pa.array([rows_out(table)], pa.binary()), pa.array([_zip(places)], pa.binary())], ["chunk", "rows", "places"])
 
     return trimmed(run)
 
 
-def _rows_out(table) -> bytes:
-    import pyarrow as pa
-
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-        out.write_table(table)
-    return sink.getvalue().to_pybytes()
-
-
-def _rows_in(data: bytes):
-    import pyarrow as pa
-
-    return pa.ipc.open_stream(data).read_all().combine_chunks()
-
-
 def _results(table, begins: np.ndarray, ends: np.ndarray, with_text: bool):
     """Result rows of texts; the removed ranges are bytes of the whole column, in any order."""
     import pyarrow as pa
@@ -448,7 +433,7 @@ def _split(shards: int, match: int, gram: int, with_text: bool):
         if not texts.num_rows:
             return _messages([])
         chunk = key[0].as_py()
-        table = _rows_in(texts.column("rows")[0].as_py())
+        table = rows_in(texts.column("rows")[0].as_py())
         found = _of_chunk(table, match, gram, _unzip(texts.column("places")[0].as_py(), np.uint32)[0])
         prints, _, _, at = _distinct_pairs(*(np.concatenate([getattr(x, k) for _, _, x in found]) for k in ("prints", "contexts")))
         told = _joined([_unzip(d, np.uint8)[0] for _, d in sorted(zip(answers.column("shard").to_pylist(), answers.column("data").to_pylist()))], np.uint8)
@@ -496,11 +481,11 @@ def _split(shards: int, match: int, gram: int, with_text: bool):
         begins, ends, slot_at, slot = _joined(begins), _joined(ends), _joined(slot_at), _joined(slot)
         done = table.filter(pa.array(~waits))
         if done.num_rows:
-            rows.append((DONE, 0, chunk, _rows_out(_results(done, *_moved(offsets, ~waits, begins, ends), with_text))))
+            rows.append((DONE, 0, chunk, rows_out(_results(done, *_moved(offsets, ~waits, begins, ends), with_text))))
         if waits.any():
             marks = _moved(offsets, waits, begins, ends)
             slot_at = _moved(offsets, waits, slot_at)[0]
-            rows.append((PENDING, 0, chunk, _pair(_zip(*marks, slot_at, slot), _rows_out(table.filter(pa.array(waits))))))
+            rows.append((PENDING, 0, chunk, _pair(_zip(*marks, slot_at, slot), rows_out(table.filter(pa.array(waits))))))
         return _messages(rows)
 
     return trimmed(run)
@@ -559,7 +544,7 @@ def _finished(match: int, with_text: bool, schema):
         index = [_unzip(d, np.int16, np.int16) for _, _, d in told]
         least, most = (_joined([x[k] for x in index])[slot] if len(slot) else np.zeros(0, np.int64) for k in (0, 1))
         hit = most >= 0
-        return _results(_rows_in(rows), _joined([begins, slot_at[hit] - most[hit]]), _joined([ends, slot_at[hit] - least[hit] + match]), with_text).cast(schema)
+        return _results(rows_in(rows), _joined([begins, slot_at[hit] - most[hit]]), _joined([ends, slot_at[hit] - least[hit] + match]), with_text).cast(schema)
 
     return trimmed(run)
 
@@ -568,7 +553,7 @@ def _opened(schema):
     def run(batches):
         for batch in batches:
             for data in batch.column(0).to_pylist():
-                yield from _rows_in(data).cast(schema).to_batches()
+                yield from rows_in(data).cast(schema).to_batches()
 
     return trimmed(run)
 

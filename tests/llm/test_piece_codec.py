@@ -56,6 +56,19 @@ def test_caches_may_be_full(monkeypatch):
     assert [coder.decode(coder.encode([t])[0]) for t in texts()] == [t.replace("▁", " ") for t in texts()]
 
 
+def test_ids_of_a_table_are_the_librarys_whatever_the_chunks(spark):
+    some = texts(3, 60)
+    library = sentencepiece.SentencePieceProcessor(model_file=P.default_model())
+    for chunk in (100, 5_000, 1 << 20):
+        got = {r.doc_id: r.ids for r in P.encode(documents(spark, some), chunk=chunk).collect()}
+        assert [got[i] for i in range(len(some))] == library.encode(some), chunk
+
+
+def test_null_and_repeated_ids(spark):
+    docs = spark.createDataFrame([(None, "a b"), (4, None), (4, None), (4, "a b")], "doc_id long, text string").coalesce(1).checkpoint()
+    assert sorted((str(r.doc_id), r.n_ids, r.same) for r in P.encode(docs).collect()) == [("4", 0, True), ("4", 0, True), ("4", 2, True), ("None", 2, True)]
+
+
 def test_table_round_trip(spark):
     docs = documents(spark, [*ODD, PROSE, PROSE]).withColumnRenamed("lang", "ids")
     coded = P.encode(docs)
