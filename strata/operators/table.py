@@ -404,7 +404,7 @@ class TieredTable:
     # -- compaction ----------------------------------------------------------
 
     def compact_bucket(self, start: int, end: int) -> Action | None:
-        """Move the hot rows of [start, end) into a cold file; None if there are none.
+        """Move the hot rows of [start, end) into a cold file; None if there are none, for :meth:`bucket_state` to tell why.
 
         Bounds need not be aligned: rows of the touched buckets outside the range go to
         a new hot segment in the same publish.
@@ -428,6 +428,12 @@ class TieredTable:
         action = self._publish_cold(state, {start: (start, end)}, taken)
         return action[0]
 
+    def bucket_state(self, start: int, end: int) -> str:
+        """What :meth:`compact_bucket` would find: ``hot`` rows, a bucket already ``compacted``, or an ``empty`` one."""
+        if any(int(b) < end and int(b) + self.tier0 > start for s in self.segments() for b in s["buckets"]):
+            return "hot"
+        return "compacted" if any(e["start"] < end and e["end"] > start for e in catalog.active(self.state)) else "empty"
+
     def _stage_cold(self, rows: DataFrame, by: Column) -> dict[int, tuple[str, int]]:
         """Write rows sorted by time into one staged folder for each value of ``by``."""
         staging = self.store.at("_staging", uuid.uuid4().hex)
