@@ -588,6 +588,6 @@ def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_unrepeated(docs: DataFrame, text: str = "text", **options) -> DataFrame:
-    """``docs`` with repeated passages cut out of its texts, all columns; a null text stays null."""
+    """``docs`` with repeated passages cut out of its texts, all columns; a null text becomes empty."""
     found = remove_repeats(docs, text, **options)
     return found.select(*[F.col(f"row.`{c}`").alias(c) if c != text else F.col("kept_text").alias(c) for c in docs.columns])
