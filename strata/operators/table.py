@@ -33,6 +33,8 @@ BUCKET = "_bucket"
 GRACE = 3600 * SECOND
 #: folders of statistics, and of each rollup's deltas, before ``maintain`` merges them into one
 FOLDERS = 16
+#: lists of files whose index is kept
+FRAMES = 32
 
 
 @dataclass
@@ -80,6 +82,7 @@ class TieredTable:
 
     def __init__(self, spark: SparkSession, name: str, store: Store, manifest: Manifest):
         self.spark, self.name, self.store, self.manifest = spark, name, store, manifest
+        self._frames: dict[tuple, DataFrame] = {}
         self._holding: dict[tuple, tuple[set[str], set[str]]] = {}
         _settings(spark)
 
@@ -184,9 +187,15 @@ class TieredTable:
     # -- reading -------------------------------------------------------------
 
     def _read(self, paths: list[str]) -> DataFrame:
+        """Rows of files; as files never change, the last lists of them keep their file index."""
         if not paths:
             return empty(self.spark, self.schema)
-        return self.spark.read.schema(self.schema).parquet(*paths)
+        key = (len(self.columns), *paths)
+        if key not in self._frames:
+            if len(self._frames) >= FRAMES:
+                self._frames.pop(next(iter(self._frames)))
+            self._frames[key] = self.spark.read.schema(self.schema).parquet(*paths)
+        return self._frames[key]
 
     def _landed(self, segment: dict) -> bool:
         """Whether the batch over several tables that a segment belongs to was committed."""

@@ -347,6 +347,17 @@ def capped_result(spark, sf_dir):
     return spark.createDataFrame([(*r, got["truncated"]) for r in got["rows"]], "event_id long, truncated boolean")
 
 
+PRUNED = f"FROM {{}} WHERE event_type = '{ONE}' AND ts >= TIMESTAMP '2024-01-15 12:00:00' AND ts < TIMESTAMP '2024-01-15 13:00:00'"
+
+
+@query(f"SELECT count(*) AS n, round(avg(value), 6) AS avg_value, true AS fewer_files {PRUNED.format('events')}")
+def sql_prunes_files(spark, sf_dir):
+    """SQL over a tiered table reads the files that its conditions leave, as ``scan`` does."""
+    made = engine(spark, sf_dir)
+    rows = made.sql(f"SELECT count(*) AS n, round(avg(value), 6) AS avg_value {PRUNED.format('adopted')}")
+    return rows.withColumn("fewer_files", F.lit(len(rows.inputFiles()) < len(made.sql("SELECT * FROM adopted").inputFiles()) / 2))
+
+
 @query("SELECT event_type, count(*) AS n, count(CASE WHEN false THEN 1 END) AS extras, round(sum(value), 4) AS total FROM events GROUP BY 1")
 def converted_table(spark, sf_dir):
     """A plain table adopted, kept up, dropped and taken up again by another engine."""
