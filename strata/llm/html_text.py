@@ -43,12 +43,14 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: fixed values: last words of classes, ids and roles of what is not the article
 MARKS = frozenset(
-    "ad ads advert adverts advertisement advertisements advertising adsense sponsor sponsors sponsored promo promos banner banners sidebar sidebars widget widgets nav navbar navigation menu menus breadcrumb breadcrumbs masthead footer cookie cookies consent gdpr notice notices alert alerts popup modal overlay newsletter subscribe signup login share sharing social related recommended recommendations comment comments respond disqus reply replies pagination pager toolbar".split()
+    "ad ads adsbygoogle advert adverts advertisement advertisements advertising adsense sponsor sponsors sponsored promo promos banner banners sidebar sidebars widget widgets nav navbar navigation menu menus breadcrumb breadcrumbs masthead footer cookie cookies consent gdpr notice notices alert alerts popup modal overlay newsletter subscribe signup login share sharing social related recommended recommendations comment comments respond disqus reply replies pagination pager toolbar skip".split()
 )
 #: fixed values: roles of such elements
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog menu menubar toolbar".split())
 #: fixed values: words that only say that a name is of a container or a part
-PARTS = frozenset("area bar block body bottom box button buttons column container content count form group holder icon icons inner item items left link links list outer panel right row section slot thread top unit wrap wrapper zone".split())
+PARTS = frozenset(
+    "area articles bar block body bottom box button buttons column container content count desktop entries form group holder icon icons inner item items left link links list main mobile outer panel posts primary products reading right row secondary section slot stories this thread top trail unit videos wrap wrapper zone".split()
+)
 #: fixed values: first words of a page's own header, and of classes that tell of a layout and mark nothing
 HEADERS = frozenset("site page top global".split())
 LAYOUT = frozenset("has no with without".split())
@@ -58,7 +60,7 @@ WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 @functools.lru_cache(1 << 14)
 def marked(name: str) -> bool:
     """Whether a class or id, split into its words, ends in one that marks no article."""
-    words = [w.lower() for w in WORD.findall(name)]
+    words = [w.lower() for w in WORD.findall(name) if len(w) > 1]
     while len(words) > 1 and words[-1] in PARTS:
         words.pop()
     if not words or words[0] in LAYOUT:

@@ -64,7 +64,7 @@ def test_smoothing_keeps_a_level_and_selection_its_ends():
 
 
 def test_whole_words_of_names_mark():
-    for name in ("post-comments", "main-nav", "main-sidebar", "main-menu", "entry-footer", "article-ads", "article-share", "story-promo", "post-related", "adSlot", "ad_slot", "cookie-notice", "siteHeader", "comments-list", "x sidebar2"):
+    for name in ("post-comments", "main-nav", "main-sidebar", "main-menu", "entry-footer", "article-ads", "article-share", "story-promo", "post-related", "adSlot", "ad_slot", "cookie-notice", "siteHeader", "comments-list", "x sidebar2", "related-posts", "ad-300x250", "nav-primary", "skip-link", "comment-body", "widget_area", "sponsored-content", "share-this"):
         assert extract(f'<article><p>{LONG}</p><div class="{name}">{LONG}</div></article>') == LONG, name
     for name in ("related-work", "share-price", "search", "promotion", "newsletter-study", "menu-planning", "header-image caption", "shadow", "badge", "entry-header", "advice", "noticeable", "comment-free"):
         assert extract(f'<article><p>{LONG}</p><div class="{name}">{LONG}</div></article>') == f"{LONG}\n{LONG}", name
