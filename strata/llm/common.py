@@ -88,11 +88,11 @@ _held: dict = {}
 _keeper: list = []
 
 
-def held(key, make):
-    """``make()``, kept in this worker process while tasks use it: its memory serves other operators after that."""
+def held(key, make, idle: float = IDLE_S):
+    """``make()``, kept in this worker process until no task has asked for it for ``idle`` seconds: its memory serves other operators after that."""
     found = _held.get(key)
     value = found[0] if found else make()
-    _held[key] = (value, time.monotonic())
+    _held[key] = (value, time.monotonic() + idle)
     if not _keeper or not _keeper[0].is_alive():
         _keeper[:] = [threading.Thread(target=_let_go, daemon=True)]
         _keeper[0].start()
@@ -102,7 +102,7 @@ def held(key, make):
 def _let_go() -> None:
     while _held:
         time.sleep(IDLE_S / 2)
-        for key in [k for k, (_, used) in list(_held.items()) if time.monotonic() - used > IDLE_S]:
+        for key in [k for k, (_, until) in list(_held.items()) if time.monotonic() > until]:
             del _held[key]
             gc.collect()
             trim()

@@ -11,8 +11,10 @@
    same bytes, both taken by partial aggregation, so no group is gathered anywhere.
 
 Of equal texts the row with the largest doc_id stays (nulls are smallest; among
-repeated rows with that id exactly one stays).  An empty table gives an empty
-result; other columns of the input are not read.
+repeated rows with that id exactly one stays).  Texts are compared whole, whatever their
+length; two different texts of one fingerprint and one SHA-256 would be an error, not a
+group.  An empty table gives an empty result; other columns of the input are not read,
+so their names cannot clash.
 """
 
 from __future__ import annotations

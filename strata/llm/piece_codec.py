@@ -43,6 +43,8 @@ LEAD = 4
 #: words kept with their ids, and pairs of pieces kept with their verdict, in one Python worker
 CACHE_WORDS, CACHE_PAIRS = 500_000, 1_000_000
 UNKNOWN_PENALTY = 10.0
+#: seconds for which a worker keeps the pieces and its pairs' verdicts; a shard's words may take that long
+IDLE_S = 120.0
 
 
 def default_model() -> str:
@@ -85,20 +87,26 @@ class PieceCodec:
         self.apart: dict[int, bool] = {}
         self.known: dict[str, bytes] = {}
 
-    def merged(self, text: str) -> list[str]:
-        """BPE of a short string: the best-scored adjacent pair first, leftmost on ties."""
-        parts = list(text)
-        while len(parts) > 1:
-            best = None
-            for k in range(len(parts) - 1):
-                i = self.ids.get(parts[k] + parts[k + 1])
-                if i is not None and (best is None or self.score[i] > best[0]):
-                    best = (self.score[i], k)
+    def holds(self, left: str, right: str) -> bool:
+        """Whether BPE of the two together gives these two pieces: the best-scored adjacent pair merges first, the leftmost of equals."""
+        parts, bound = [*left, *right], len(left)
+        pair = [self.ids.get(a + b) for a, b in zip(parts, parts[1:])]
+        while True:
+            best, at = None, -1
+            for k, i in enumerate(pair):
+                if i is not None and (best is None or self.score[i] > best):
+                    best, at = self.score[i], k
             if best is None:
-                break
-            k = best[1]
-            parts[k : k + 2] = [parts[k] + parts[k + 1]]
-        return parts
+                return bound == 1 and len(parts) == 2
+            if at == bound - 1:  # a merge across what should stay apart
+                return False
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            bound -= at < bound
+            del pair[at]
+            if at:
+                pair[at - 1] = self.ids.get(parts[at - 1] + parts[at])
+            if at < len(pair):
+                pair[at] = self.ids.get(parts[at] + parts[at + 1])
 
     def stay_apart(self, a: int, b: int) -> bool:
         key = a << 32 | b
@@ -106,8 +114,7 @@ class PieceCodec:
         if known is None:
             if len(self.apart) >= CACHE_PAIRS:
                 self.apart.clear()
-            left, right = self.pieces[a], self.pieces[b]
-            known = self.apart[key] = self.merged(left + right) == [left, right]
+            known = self.apart[key] = self.holds(self.pieces[a], self.pieces[b])
         return known
 
     def learn(self, words: list[str]) -> None:
@@ -196,7 +203,7 @@ class PieceCodec:
 
 def codec(path: str) -> PieceCodec:
     """One per worker process: its words serve the tasks that run there one after another."""
-    return held(("pieces", path), lambda: PieceCodec(path))
+    return held(("pieces", path), lambda: PieceCodec(path), IDLE_S)
 
 
 def _words_out(words: list[str]) -> bytes:
