@@ -328,6 +328,10 @@ class TieredTable:
         row = (self.name, ",".join(map(str, p["tiers"])), p["margin"], p["retain"], p["origin"], p["base_dir"], p["axis"])
         return self.spark.createDataFrame([row], "logical_table string, tiers_us string, safety_margin_us long, retain_us long, origin_us long, base_dir string, ts_column string")
 
+    def rollups_df(self) -> DataFrame:
+        rows = [(self.name, r["grain"], r["name"]) for r in self.state["rollups"].values()]
+        return self.spark.createDataFrame(rows, "logical_table string, grain_us long, rollup_table string")
+
     # -- writing -------------------------------------------------------------
 
     def _fitted(self, rows: DataFrame) -> DataFrame:

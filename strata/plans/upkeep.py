@@ -333,6 +333,7 @@ def engine(spark: SparkSession, sf_dir: str) -> Engine:
         made.sql("SELECT strata_add_column('adopted', 'extra REAL')")
         made.maintain("adopted", now=NOW)
         made.create_key("reader", "readonly", ["adopted"])
+        made.set_config("owner", "plant")
         made.create_key("gone")
         made.revoke_key("gone")
         return made
@@ -377,6 +378,16 @@ def kept_keys(spark, sf_dir):
     return Engine(spark, engine(spark, sf_dir).home).list_keys().withColumn("scope", F.array_join("scope", ","))
 
 
+@query(values_sql("name, value", [("owner", "plant")]))
+def kept_settings(spark, sf_dir):
+    return Engine(spark, engine(spark, sf_dir).home).config().filter("name <> 'default_dir'")
+
+
+@query(values_sql("logical_table, grain_us, rollup_table", [("events", HOUR, "events_rollup_1h"), ("events", 4 * HOUR, "events_rollup_4h")]))
+def rollup_registry(spark, sf_dir):
+    return table(spark, sf_dir).rollups_df()
+
+
 def told(run: Callable) -> str:
     """The name of the error that ``run`` raises."""
     try:
