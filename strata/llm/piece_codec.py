@@ -33,11 +33,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import chunk_id, chunked_rows, chunks, held, rows_in, rows_out, shards_for, trimmed
+from strata.llm.common import chunk_id, chunked_rows, chunks, held, pack_counts, rows_in, rows_out, shards_for, trimmed, unpack_counts
 
 MARK = "▁"
 #: bytes of text in a chunk, and of input whose words meet in a shard
-CHUNK, SHARD = 4 << 20, 16 << 20
+CHUNK, SHARD = 12 << 20, 16 << 20
 #: first characters of a word that choose its shard
 LEAD = 4
 #: words kept with their ids, and pairs of pieces kept with their verdict, in one Python worker
@@ -212,27 +212,54 @@ def _words_out(words: list[str]) -> bytes:
     return rows_out(pa.table({"w": pa.array(words, pa.string())}))
 
 
+def _dealt(coder: PieceCodec, texts, shards: int) -> dict[int, list[str]]:
+    """The distinct words of a chunk's texts, sorted, by shard."""
+    import xxhash
+
+    every: set[str] = set()
+    for start in range(0, len(texts), 256):
+        every.update(*map(coder.words, texts.slice(start, 256).to_pylist()))
+    by: dict[int, list[str]] = {}
+    for word in sorted(every):
+        by.setdefault(xxhash.xxh32_intdigest(word[:LEAD].encode()) % shards, []).append(word)
+    return by
+
+
 def _distinct(path: str, size: int, shards: int):
     """A chunk's distinct words, a message to each shard."""
 
     def run(batches):
         import pyarrow as pa
-        import xxhash
 
         for seq, table in chunks(batches, size):
-            coder, texts = codec(path), table.column("text")
-            every: set[str] = set()
-            for start in range(0, len(texts), 256):
-                every.update(*map(coder.words, texts.slice(start, 256).to_pylist()))
-            by: dict[int, list[str]] = {}
-            for word in sorted(every):
-                by.setdefault(xxhash.xxh32_intdigest(word[:LEAD].encode()) % shards, []).append(word)
-            found = sorted(by.items())
+            found = sorted(_dealt(codec(path), table.column("text"), shards).items())
             yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in found], pa.int32()), pa.array([chunk_id(seq)] * len(found), pa.int64()), pa.array([_words_out(w) for _, w in found], pa.binary())], ["shard", "chunk", "data"])
 
     return trimmed(run)
 
 
+def _ids_out(coded: list[bytes]) -> bytes:
+    """How many ids each word has, then the ids."""
+    import pyarrow as pa
+
+    counts = pack_counts(np.array([len(x) // 4 for x in coded], np.int64))
+    ids = np.frombuffer(b"".join(coded), "<u4")
+    kind = "<u2" if not len(ids) or ids.max() < 1 << 16 else "<u4"
+    packed = pa.compress(ids.astype(kind).tobytes(), codec="zstd", asbytes=True)
+    return np.array([len(coded), len(counts), len(ids), int(kind[2])], "<u8").tobytes() + counts + packed
+
+
+def _ids_in(data: bytes) -> list[bytes]:
+    import pyarrow as pa
+
+    n, size, total, width = (int(x) for x in np.frombuffer(data, "<u8", 4))
+    counts = unpack_counts(data[32 : 32 + size], n)
+    raw = pa.decompress(data[32 + size :], decompressed_size=total * width, codec="zstd", asbytes=True)
+    ids = np.frombuffer(raw, f"<u{width}").astype("<u4").tobytes()
+    ends = (4 * np.cumsum(counts)).tolist()
+    return [ids[a:b] for a, b in zip([0, *ends], ends)]
+
+
 def _segmented(path: str):
     """A shard's answers: the ids of each chunk's words, in their order."""
 
@@ -243,24 +270,26 @@ def _segmented(path: str):
         asked = [rows_in(x).column("w").to_pylist() for x in table.column("data").to_pylist()]
         coder.known.clear()
         coder.learn(list(set().union(*asked)))
-        get = coder.known.__getitem__
-        answers = [rows_out(pa.table({"w": pa.array(words, pa.string()), "ids": pa.array(list(map(get, words)), pa.binary())})) for words in asked]
+        answers = [_ids_out([coder.known[w] for w in words]) for words in asked]
         coder.known.clear()
-        return pa.table({"chunk": table.column("chunk"), "data": pa.array(answers, pa.binary())})
+        return pa.table({"shard": table.column("shard"), "chunk": table.column("chunk"), "data": pa.array(answers, pa.binary())})
 
     return trimmed(run)
 
 
-def _encoded(path: str, with_ids: bool):
+def _encoded(path: str, shards: int, with_ids: bool):
     def run(key, texts, answers):
         import pyarrow as pa
 
         coder = codec(path)
         table = rows_in(texts.column("rows")[0].as_py())
+        words = _dealt(coder, table.column("text"), shards)
         coder.known.clear()
-        for data in answers.column("data").to_pylist():
-            told = rows_in(data)
-            coder.known.update(zip(told.column("w").to_pylist(), told.column("ids").to_pylist()))
+        for shard, data in zip(answers.column("shard").to_pylist(), answers.column("data").to_pylist()):
+            ids = _ids_in(data)
+            if len(ids) != len(words.get(shard, ())):
+                raise ValueError("the input did not give the same rows twice; write it to a table first")
+            coder.known.update(zip(words[shard], ids))
         get, out = coder.known.__getitem__, []
         for start in range(0, table.num_rows, 256):
             part = table.slice(start, 256)
@@ -286,16 +315,16 @@ def _encoded(path: str, with_ids: bool):
 def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, with_ids: bool = True, chunk: int = CHUNK) -> DataFrame:
     """(doc_id, n_ids, ids_crc32, decoded_sha256, same[, ids]) of every row.
 
-    ``docs`` must give the same rows in the same order each time, as a file scan does; a
-    chunk that has a word without an answer raises a KeyError.
+    ``docs`` must give the same rows in the same order each time, as a file scan does.
     """
     path = path or default_model()
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     kind = rows.schema[0].dataType.simpleString()
-    words = rows.select("text").mapInArrow(_distinct(path, chunk, shards_for(docs.select(F.col(text)), SHARD)), "shard int, chunk long, data binary")
-    answers = words.groupBy("shard").applyInArrow(_segmented(path), "chunk long, data binary")
+    shards = shards_for(docs.select(F.col(text)), SHARD)
+    words = rows.select("text").mapInArrow(_distinct(path, chunk, shards), "shard int, chunk long, data binary")
+    answers = words.groupBy("shard").applyInArrow(_segmented(path), "shard int, chunk long, data binary")
     texts = rows.mapInArrow(chunked_rows(chunk), "chunk long, rows binary")
-    return texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_encoded(path, with_ids), f"doc_id {kind}, n_ids long, ids_crc32 long, decoded_sha256 string, same boolean" + ", ids array<int>" * with_ids)
+    return texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_encoded(path, shards, with_ids), f"doc_id {kind}, n_ids long, ids_crc32 long, decoded_sha256 string, same boolean" + ", ids array<int>" * with_ids)
 
 
 def decode(coded: DataFrame, ids: str = "ids", out: str = "text", path: str | None = None) -> DataFrame:
