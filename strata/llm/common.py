@@ -149,7 +149,10 @@ def shuffle_partitions(df: DataFrame) -> int:
 
 def input_bytes(df: DataFrame) -> int:
     """Bytes of an input as the optimizer knows them from its files, or measured where it does not."""
-    told = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    try:
+        told = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    except ValueError:  # the estimate of a long plan may have thousands of digits
+        told = 1 << 64
     if told < 1 << 56:
         return told
     return df.agg(F.coalesce(F.sum(functools.reduce(lambda a, b: a + b, map(_width, df.schema.fields))), F.lit(0))).first()[0]
